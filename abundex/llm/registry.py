@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, linededup
+from abundex.llm import chat, decontam, linededup, outliers
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (decontam.op3_benchmark_decontamination, chat.op4_chat_formatting, linededup.op10_line_dedup)}
+    found = (
+        outliers.op2_quality_rules,
+        decontam.op3_benchmark_decontamination,
+        chat.op4_chat_formatting,
+        linededup.op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:

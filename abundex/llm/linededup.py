@@ -144,6 +144,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, max_log2_bits
     log2_bits = min(max_log2_bits, max(SLICE_BITS + 2, int(8 * chars / 100).bit_length()))
     found = keep(suspects(docs, min_chars, log2_bits).groupBy("key", "doc_id").agg(F.lit(1).alias("one")).drop("one"), "suspects")
     confirmed = found.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs).select("key", "holder")
+    confirmed = keep(confirmed, "repeats")  # so that both sides of the join come straight from storage and a hot line can be split
     lost = found.join(confirmed, "key").where(F.col("doc_id") != F.col("holder"))
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
 

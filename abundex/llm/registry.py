@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, linededup, outliers
+from abundex.llm import chat, decontam, langid, linededup, outliers
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         outliers.op2_quality_rules,
         decontam.op3_benchmark_decontamination,
         chat.op4_chat_formatting,
+        langid.op5_language_id,
         linededup.op10_line_dedup,
     )
     return {f.__name__: f for f in found}

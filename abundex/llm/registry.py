@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, langid, linededup, outliers
+from abundex.llm import chat, decontam, langid, linededup, outliers, rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         decontam.op3_benchmark_decontamination,
         chat.op4_chat_formatting,
         langid.op5_language_id,
+        rules.op8_quality_classifier,
         linededup.op10_line_dedup,
     )
     return {f.__name__: f for f in found}

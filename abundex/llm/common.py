@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,26 +71,28 @@ class Arrays:
     def put(self, name: str, array: np.ndarray) -> None:
         np.save(os.path.join(self._dir, f"{name}.npy"), array)
 
-    def put_stream(self, name: str, dtype, chunks: Iterator[np.ndarray]) -> int:
-        """Write chunks one after another, so that the driver holds one at a time."""
-        n, raw = 0, os.path.join(self._dir, f"{name}.raw")
-        with open(raw, "wb") as f:
-            for c in chunks:
-                c = np.ascontiguousarray(c, dtype)
-                f.write(memoryview(c).cast("B") if len(c) else b"")
-                n += len(c)
-        return n
-
-    def publish(self) -> Arrays:
+    def create_raw(self, name: str, dtype, size: int) -> np.ndarray:
+        """A file of size items for the driver to fill."""
+        path = os.path.join(self._dir, f"{name}.raw")
+        if not size:
+            open(path, "wb").close()
+            return np.empty(0, dtype)
+        return np.memmap(path, dtype, "w+", shape=(size,))
+
+    def publish(self, names: list[str] | None = None) -> Arrays:
+        """Send the named raw files (or all files) to the executors, where the folder isn't a mounted one."""
         if self._ship:
             for f in sorted(os.listdir(self._dir)):
-                os.rename(os.path.join(self._dir, f), tagged := os.path.join(self._dir, f"{self._id}-{f}"))
-                self._spark.sparkContext.addFile(tagged)
+                if not f.startswith(self._id) and (names is None or f.rpartition(".")[0] in names):
+                    tagged = os.path.join(self._dir, f"{self._id}-{f}")
+                    os.link(os.path.join(self._dir, f), tagged)
+                    self._spark.sparkContext.addFile(tagged)
         return self
 
     def _path(self, file: str) -> str:
-        if not self._ship:
-            return os.path.join(self._dir, file)
+        local = os.path.join(self._dir, file)
+        if not self._ship or hasattr(self, "_spark"):
+            return local
         from pyspark import SparkFiles
 
         return SparkFiles.get(f"{self._id}-{file}")
@@ -98,9 +100,9 @@ class Arrays:
     def get(self, name: str) -> np.ndarray:
         return np.load(self._path(f"{name}.npy"), mmap_mode="r")
 
-    def get_raw(self, name: str, dtype) -> np.ndarray:
+    def get_raw(self, name: str, dtype, mode: str = "r") -> np.ndarray:
         path = self._path(f"{name}.raw")
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        return np.memmap(path, dtype, mode) if os.path.getsize(path) else np.empty(0, dtype)
 
 
 def crc_mod(col: Column | str, m: int) -> Column:

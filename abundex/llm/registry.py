@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, langid, linededup, neardup, outliers, rules
+from abundex.llm import chat, decontam, langid, linededup, neardup, outliers, rules, wordlm
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         decontam.op3_benchmark_decontamination,
         chat.op4_chat_formatting,
         langid.op5_language_id,
+        wordlm.op6_lm_scoring,
         rules.op8_quality_classifier,
         neardup.op9_minhash_near_dedup,
         linededup.op10_line_dedup,

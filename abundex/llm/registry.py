@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, langid, linededup, neardup, outliers, rules, wordlm
+from abundex.llm import chat, decontam, langid, linededup, mixing, neardup, outliers, rules, wordlm
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         chat.op4_chat_formatting,
         langid.op5_language_id,
         wordlm.op6_lm_scoring,
+        mixing.op7_source_mixing,
         rules.op8_quality_classifier,
         neardup.op9_minhash_near_dedup,
         linededup.op10_line_dedup,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from abundex.llm import chat, decontam, langid, linededup, mixing, neardup, outliers, rules, wordlm
+from abundex.llm import chat, decontam, langid, licenses, linededup, mixing, neardup, outliers, rules, wordlm
 
 
 def queries() -> dict:
     found = (
+        licenses.op1_license_scan,
         outliers.op2_quality_rules,
         decontam.op3_benchmark_decontamination,
         chat.op4_chat_formatting,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_benchmark_decontamination": decontam.ORACLE, "op4_chat_formatting": chat.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op3_benchmark_decontamination": decontam.ORACLE, "op4_chat_formatting": chat.ORACLE, "op10_line_dedup": linededup.ORACLE}

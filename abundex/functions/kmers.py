@@ -31,7 +31,7 @@ def is_acgt(x: Column | str) -> Column:
 
 def acgt_only(x: Column | str) -> Column:
     """Upper-cased, without any other character."""
-    return F.regexp_replace(F.upper(col(x)), "[^ACGT]", "")
+    return F.regexp_replace(F.upper(col(x)), "[^ACGT]+", "")
 
 
 def kmer_strings(seq: Column | str, k: int) -> Column:

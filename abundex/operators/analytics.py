@@ -34,9 +34,11 @@ def except_kmers(matrix: DataFrame, a, b, by: str = "dataset") -> DataFrame:
 
 
 def harmonic_mean(count: Column) -> Column:
-    """All values over the sum of inverses of the positive ones, cut to a whole number; 0 without positive ones."""
+    """All values over the sum of inverses of the positive ones, cut to a whole number; 0 without positive ones.
+
+    The sum of inverses depends on their order in the last bits, so a whole number just missed counts as reached."""
     inverse = F.sum(F.when(count > 0, F.lit(1.0) / count))
-    return F.coalesce(F.floor(F.count(F.lit(1)) / inverse), F.lit(0)).cast("bigint")
+    return F.coalesce(F.floor(F.count(F.lit(1)) / inverse + 1e-9), F.lit(0)).cast("bigint")
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:

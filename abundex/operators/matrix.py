@@ -6,8 +6,6 @@ The roller sums up each Arrow batch before anything is shuffled, so a shuffle mo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,15 +73,18 @@ def _rolled(sequences: DataFrame, k: int, by: str, value: str | None, combine: s
     return sequences.select(*columns).mapInArrow(run, schema)
 
 
-def kmer_matrix(sequences: DataFrame, k: int, mode: str = "exact", by: str = "dataset", saturate: int | None = None) -> DataFrame:
+def kmer_matrix(sequences: DataFrame, k: int, mode: str = "exact", by: str = "dataset", saturate: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """matrix(kmer, by, count) of sequences(by, seq, count): the largest recorded count of each cell.
 
-    Cells whose recorded count is 0 are absent. For k > 31 k-mers are strings."""
+    Cells whose recorded count is 0 are absent. For k > 31 k-mers are strings. only: a table of k-mers outside of which
+    nothing is wanted; it prunes before the shuffle."""
     recorded = record(F.col("n"), mode, saturate)
     if k <= MAX_CODE_K:
         cells = _rolled(sequences, k, by, "count", "max")
     else:
         cells = positions(sequences.select(by, "seq", F.col("count").cast("long").alias("n")), k, [by, "n"], code=False)
+    if only is not None:
+        cells = cells.join(only, "kmer", "left_semi")
     # the recorded value grows with the count, so the largest count has the largest record
     return cells.groupBy("kmer", by).agg(F.max("n").alias("n")).select("kmer", by, recorded.alias("count")).where("count > 0")
 
@@ -113,16 +114,19 @@ def dense(counts: str, datasets: int):
     return F.transform(F.sequence(F.lit(0), F.lit(datasets - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_entries(counts), i), F.lit(0)))
 
 
-def classes(vectors: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
-    """How to name a vector's class, and classes(class_id, counts, n_kmers), one row for each distinct vector.
+def with_class(vectors: DataFrame, seed: int = 0) -> DataFrame:
+    """vectors with class_id, a hash of counts."""
+    return vectors.withColumn("class_id", F.xxhash64(F.lit(seed), "counts"))
+
+
+def classes(vectors: DataFrame, seed: int = 0) -> DataFrame:
+    """classes(class_id, counts, n_kmers), one row for each distinct vector."""
+    return with_class(vectors, seed).groupBy("class_id", "counts").agg(F.count("*").alias("n_kmers"))
+
 
-    The id is a hash of the vector; a seed without collisions is looked for."""
-    sizes = vectors.groupBy("counts").agg(F.count("*").alias("n_kmers"))
-    for seed in range(8):
-        named = sizes.select(F.xxhash64(F.lit(seed), "counts").alias("class_id"), "counts", "n_kmers")
-        if seed == 7 or named.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            break
-    return (lambda df: df.withColumn("class_id", F.xxhash64(F.lit(seed), "counts"))), named
+def collide(found: DataFrame) -> bool:
+    """Whether two classes share an id."""
+    return not found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def vector_text(counts: str = "counts"):

@@ -26,6 +26,7 @@ class Index:
     datasets: DataFrame
     k: int
     mode: str
+    vectors: DataFrame | None = None
 
     def info(self) -> DataFrame:
         """k, mode, n_kmers, n_classes, n_datasets."""
@@ -53,14 +54,27 @@ class Index:
     def query_file(self, path: str, format: str = "raw", threshold: int = 40) -> DataFrame:
         return self.query(fasta.read_queries(self.kmer_class.sparkSession, path, self.k), format, threshold)
 
-    def save(self, path: str, partitions: int | None = None) -> None:
-        """Write the tables; kmer_class is dealt and sorted by k-mer, so that row groups hold narrow ranges of it."""
-        table = self.kmer_class.repartitionByRange(partitions, "kmer") if partitions else self.kmer_class.repartitionByRange("kmer")
-        table.sortWithinPartitions("kmer").write.mode("errorifexists").parquet(f"{path}/kmer_class")
-        self.classes.write.parquet(f"{path}/classes")
-        self.datasets.write.parquet(f"{path}/datasets")
+    def save(self, path: str) -> Index:
+        """Write the tables and open them. The matrix is computed once, into a staging table of vectors; classes and
+        kmer_class are read off it. kmer_class is sorted by k-mer within its files, which the vectors' hash dealt out.
+
+        Should two classes share an id, another seed is taken."""
         spark = self.kmer_class.sparkSession
-        load_tables(spark, path, self.k, self.mode).info().write.parquet(f"{path}/info")
+        staging = f"{path}/_vectors"
+        source = self.vectors if self.vectors is not None else self.kmer_class.join(self.classes, "class_id").select("kmer", "counts")
+        source.write.mode("errorifexists").parquet(staging)
+        vectors = spark.read.parquet(staging)
+        for seed in range(8):
+            m.classes(vectors, seed).select("class_id", "counts").write.mode("overwrite").parquet(f"{path}/classes")
+            if not m.collide(spark.read.parquet(f"{path}/classes")):
+                break
+        m.with_class(vectors, seed).select("kmer", "class_id").sortWithinPartitions("kmer").write.parquet(f"{path}/kmer_class")
+        self.datasets.write.parquet(f"{path}/datasets")
+        out = load_tables(spark, path, self.k, self.mode)
+        out.info().write.parquet(f"{path}/info")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
 
     def export_monotigs(self) -> DataFrame:
         """Lines `k-mer, empty field, counts` of every k-mer; count modes only."""
@@ -85,8 +99,7 @@ def load_index(spark: SparkSession, path: str) -> Index:
 def from_matrix(cells: DataFrame, datasets: DataFrame, k: int, mode: str) -> Index:
     """An index of cells(kmer, dataset_id, count) and datasets(dataset_id, name, path, total_kmers)."""
     vectors = m.count_vectors(cells, "dataset_id")
-    name, classes = m.classes(vectors)
-    return Index(name(vectors).select("kmer", "class_id"), classes.select("class_id", "counts"), datasets, k, mode)
+    return Index(m.with_class(vectors).select("kmer", "class_id"), m.classes(vectors).select("class_id", "counts"), datasets, k, mode, vectors)
 
 
 def build_from_sequences(sequences: DataFrame, datasets: DataFrame, k: int = 31, mode: str = "exact", saturate: int | None = None) -> Index:

@@ -41,18 +41,21 @@ class Tables:
         q = self.items.select(F.col("item_id").alias("query_ord"), F.col("item_id").cast("string").alias("header"), acgt_only(F.coalesce("text", F.lit(""))).alias("seq"))
         return q.where(F.length("seq") >= K)
 
-    def datasets(self) -> DataFrame:
-        """One row a dataset: the catalog, gathered on the driver as the engine's API does."""
-        rows = sorted((r["dataset"], r["total_kmers"]) for r in mx.dataset_totals(self.sequences(), K).collect())
+    def datasets(self, totals: bool = False) -> DataFrame:
+        """One row a dataset: the catalog, gathered on the driver as the engine's API does; totals cost a scan."""
+        known = mx.dataset_totals(self.sequences(), K) if totals else self.docs.select(F.col(self.by).alias("dataset"), F.lit(0).alias("total_kmers")).distinct()
+        rows = sorted((r["dataset"], r["total_kmers"]) for r in known.collect())
         return self.spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "dataset_id int, name string, total_kmers bigint")
 
     def found(self, datasets: DataFrame | None = None) -> DataFrame:
         datasets = datasets if datasets is not None else self.datasets()
-        cells = self.matrix().join(datasets.select(F.col("name").alias("dataset"), "dataset_id"), "dataset").select("kmer", "dataset_id", "count")
-        return lookup.hits(lookup.query_kmers(self.queries(), K), cells)
+        kmers = self.items_kmers()
+        cells = mx.kmer_matrix(self.sequences(), K, only=kmers.select("kmer").distinct())
+        cells = cells.join(datasets.select(F.col("name").alias("dataset"), "dataset_id"), "dataset").select("kmer", "dataset_id", "count")
+        return kmers.join(cells, "kmer").select("query_ord", "dataset_id", "pos", "count")
 
     def results(self, format: str, threshold: int = 40, mode: str = "exact") -> DataFrame:
-        d = self.datasets()
+        d = self.datasets(format == "normalize")
         out = lookup.results(self.queries(), d, self.found(d), K, format, threshold, mode)
         return out.select(F.col("query_ord").alias("item_id"), F.col("name").alias("source"), "n", "n_found", "pct", "value")
 
@@ -97,7 +100,7 @@ def read_kmer_total(spark, d):
 
 
 def eq_class_sizes(spark, d):
-    _, found = mx.classes(mx.count_vectors(Tables(spark, d).matrix()))
+    found = mx.classes(mx.count_vectors(Tables(spark, d).matrix()))
     return found.select(mx.vector_text().alias("counts"), "n_kmers")
 
 
@@ -378,7 +381,7 @@ def oracle_sql() -> dict:
         "query_raw_runs": f'with {_RUNS} select item_id, source, s::int "start", e::int "end", c::int count from runs',
         "query_wide": f"with {_CELL} select item_id, item_id || chr(9) || string_agg(case when pct >= 40 then total::varchar else '*' end, chr(9) order by dataset_id) line from cell group by item_id",
         "cohort_max": f"with {_CELL}, v as (select item_id // 4 gene, source, max(total) v from cell group by 1, 2), co as (select source, case when avg(quality) >= 0.85 then 'good' else 'poor' end label from documents join labels using (doc_id) group by source) select gene, label, count(*) n, round(avg(v), 6) mean, median(v)::double median, max(v) largest from v join co using (source) group by gene, label",
-        "harmonic_mean": f"with {_MAT}, {_Q} select item_id, coalesce(floor(count(*) / sum(case when c > 0 then 1.0::double / c end)), 0)::bigint hm from qk left join mat on mat.kmer = qk.kmer group by item_id",
+        "harmonic_mean": f"with {_MAT}, {_Q} select item_id, coalesce(floor(count(*) / sum(case when c > 0 then 1.0::double / c end) + 1e-9), 0)::bigint hm from qk left join mat on mat.kmer = qk.kmer group by item_id",
         "corr_pearson": f"with {_XY} select round(corr(x::double, y::double), 9) r from xy",
         "corr_spearman": f"with {_XY}, rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from xy) select round(corr(rx::double, ry::double), 9) r from rk",
         "superkmers": f'with {_SUPER} select item_id, s::int "start", e::int "end", minimizer from sup',

@@ -141,7 +141,7 @@ def suspects(docs: DataFrame, min_chars: int, log2_bits: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, max_log2_bits: int) -> DataFrame:
     """(doc_id, drop: keys that the document loses), confirmed exactly on the lines themselves."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    log2_bits = min(max_log2_bits, max(SLICE_BITS + 2, int(8 * chars / 100).bit_length()))
+    log2_bits = max(SLICE_BITS, min(max_log2_bits, int(8 * chars / 100).bit_length()))
     found = keep(suspects(docs, min_chars, log2_bits).groupBy("key", "doc_id").agg(F.lit(1).alias("one")).drop("one"), "suspects")
     confirmed = found.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs).select("key", "holder")
     confirmed = keep(confirmed, "repeats")  # so that both sides of the join come straight from storage and a hot line can be split

@@ -44,7 +44,7 @@ def harmonic_mean(count: Column) -> Column:
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the average rank of column: ranks come from counts of distinct values, so no task sorts all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    # distinct values are few beside rows; their running sum is over partitions by value range
+    # the one task of the running sum reads a row for each distinct count, not for each k-mer
     lower = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(lower, F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")

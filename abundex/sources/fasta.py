@@ -6,6 +6,8 @@ whole. Order of queries comes from the record's place in the file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def missing_files(spark: SparkSession, path: str) -> list[str]:
     return [x for r in spark.read.text(path).collect() if (x := r["value"].strip()) and not _exists(spark, x)]
 
 
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path as _plain_column() shows the files read from it: qualified, without scheme and escapes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^[A-Za-z0-9]+:/*", "/", full)
+
+
+def _plain_column(file):
+    return F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "^[A-Za-z0-9]+:/*", "/")
+
+
 def _records(spark: SparkSession, path, mark: str) -> DataFrame:
     """header (without the mark) and body (the lines after it) of every record."""
     raw = spark.read.text(path, lineSep=f"\n{mark}")
@@ -50,12 +63,10 @@ def _records(spark: SparkSession, path, mark: str) -> DataFrame:
 
 def read_unitigs(spark: SparkSession, datasets: DataFrame, k: int) -> DataFrame:
     """unitigs(dataset_id, unitig_id, ln, kc, km, links, seq) of all datasets; sequences shorter than k are dropped."""
-    parts = []
-    for r in datasets.select("dataset_id", "path").collect():
-        parts.append(_records(spark, r["path"], ">").withColumn("dataset_id", F.lit(r["dataset_id"])))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    listed = [(r["dataset_id"], r["path"], _plain(spark, r["path"])) for r in datasets.select("dataset_id", "path").collect()]
+    known = spark.createDataFrame([(i, p) for i, _, p in listed], "dataset_id int, _file string")
+    # one scan of all files: a plan with a branch for each of thousands of datasets would be slow to make
+    rows = _records(spark, sorted({p for _, p, _ in listed}), ">").withColumn("_file", _plain_column(F.col("file"))).join(F.broadcast(known), "_file")
     h = F.col("header")
     seq = F.upper(F.regexp_replace("body", r"\s", ""))
     return rows.select(

@@ -45,7 +45,8 @@ def model(*texts):
 
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
-    d = tmp_path_factory.mktemp("fa")
+    d = tmp_path_factory.mktemp("fa") / "with + and space"
+    d.mkdir()
     (d / "one.unitigs.fa").write_text(U1)
     with gzip.open(d / "two.unitigs.fa.gz", "wt") as f:
         f.write(U2)

@@ -160,10 +160,24 @@ class Model:
         return self.arrays.get_raw(name, dtype)
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in a sorted table, and whether they are there. Each distinct key is searched once, in order,
+    so that the search walks through the mapped pages instead of jumping."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
+    distinct = s[new]
+    at = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
+    hit = table[at] == distinct
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return at[which], hit[which]
+
+
 def _ranks(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Vocabulary ranks of hashes, -1 for unknown ones."""
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, at, -1)
+    at, hit = _find(words, h)
+    return np.where(hit, at, -1)
 
 
 def _before(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
@@ -305,9 +319,7 @@ def log_probs(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     p = np.where(context, model.array("back", np.float32)[np.maximum(before, 0)], 1.0) * p
     both = np.flatnonzero(known & context)
     keys = before[both].astype(np.uint64) * np.uint64(base) + ids[both].astype(np.uint64)
-    pairs = model.array("pairs", np.uint64)
-    where = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-    hit = pairs[where] == keys
+    where, hit = _find(model.array("pairs", np.uint64), keys)
     p[both[hit]] += model.array("pair_p", np.float32)[where[hit]]
     return sizes, np.add.reduceat(known.astype(np.int64), start), np.add.reduceat(base_log, start), np.add.reduceat(np.log10(p), start)
 

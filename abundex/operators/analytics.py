@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.kmers import canonical
+from abundex.functions.kmers import canonical, reverse_complement
 
 
 def sharing(matrix: DataFrame, by: str = "dataset") -> DataFrame:
@@ -95,6 +95,16 @@ def minimizer_stats(supers: DataFrame, k: int) -> DataFrame:
     return supers.groupBy("minimizer").agg(F.count("*").alias("n_super"), F.sum(n).cast("bigint").alias("n_kmers"), F.sum(n + (k - 1)).cast("bigint").alias("n_bases"))
 
 
+def overlaps(kmers: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """(a, b, by) of k-mers, in either direction, where b begins with the last k - 1 bases of a and both agree in by.
+
+    kmers has canonical k-mers as strings; the steps of a path of equal count vectors are those with by = ["counts"]."""
+    both = kmers.select("kmer", *by).unionByName(kmers.select(reverse_complement("kmer").alias("kmer"), *by)).distinct()
+    left = both.select(F.col("kmer").alias("a"), F.substr("kmer", F.lit(2)).alias("_o"), *by)
+    right = both.select(F.col("kmer").alias("b"), F.substring("kmer", 1, k - 1).alias("_o"), *by)
+    return left.join(right, ["_o", *by]).select("a", "b", *by)
+
+
 def rle(values: Column, longest: int = 254, most: int | None = None) -> Column:
     """Runs (n, v) of an array, none longer than `longest`; values are capped at `most`."""
     start = F.array().cast("array<struct<n:int,v:int>>")

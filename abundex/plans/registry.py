@@ -283,6 +283,12 @@ def reads_min2(spark, d):
     return mx.read_matrix(Tables(spark, d).sequences(), K, 2).select(decode("kmer", K).alias("kmer"), F.col("dataset").alias("source"), "count")
 
 
+def kmer_overlaps(spark, d):
+    """Steps between overlapping k-mers with equal count vectors, by the number of datasets in the vector."""
+    v = mx.count_vectors(Tables(spark, d).matrix()).select(decode("kmer", K).alias("kmer"), "counts")
+    return an.overlaps(v, K, ["counts"]).groupBy(F.size("counts").alias("n_datasets")).agg(F.count("*").alias("n_steps"), F.countDistinct("a").alias("n_from"))
+
+
 def dataset_name_parse(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     return pages.select("page_id", names.dataset_name(F.coalesce("url", F.lit(""))).alias("name"))
@@ -314,7 +320,7 @@ _QUERIES = [
     kmer_extract, kmer_codes, kmer_canonical_count, matrix_max, matrix_by_lang, matrix_presence, dataset_totals, read_kmer_total, eq_class_sizes, index_info, index_query_sum,
     dense_vectors, quantized_hist, log_hist, seq_filter_short, seq_filter_rejected, header_trim, query_hits_left, query_semi, query_anti, query_sum, query_average, query_normalize,
     query_presence, query_raw_string, query_threshold_78, query_coverage, query_raw_runs, query_wide, cohort_max, harmonic_mean, corr_pearson, corr_spearman, superkmers,
-    minimizer_stats, shared_private_kmers, private_kmers, kmer_set_ops, reads_min2, dataset_name_parse, km_header_parse, rle_vectors,
+    minimizer_stats, shared_private_kmers, private_kmers, kmer_set_ops, reads_min2, kmer_overlaps, dataset_name_parse, km_header_parse, rle_vectors,
 ]
 
 
@@ -390,6 +396,7 @@ def oracle_sql() -> dict:
         "private_kmers": f"with {_MAT} select source, count(*) n_private from (select kmer, min(source) source from mat group by kmer having count(*) = 1) group by source",
         "kmer_set_ops": f"with {_MAT}, a as (select kmer from mat where source = 'src0'), b as (select kmer from mat where source = 'src1') select 'union' op, count(distinct kmer) n from mat union all select 'intersect', count(*) from a where kmer in (select kmer from b) union all select 'except', count(*) from a where kmer not in (select kmer from b)",
         "reads_min2": f"with {_KM} select kmer, source, count(*)::int count from km group by kmer, source having count(*) >= 2",
+        "kmer_overlaps": f"with {_MAT}, v as (select kmer, string_agg(source || ':' || c, ',' order by source) counts, count(*) n from mat group by kmer), b as (select kmer, counts, n from v union select reverse(translate(kmer, 'ACGT', 'TGCA')), counts, n from v) select x.n::int n_datasets, count(*) n_steps, count(distinct x.kmer) n_from from b x join b y on substr(x.kmer, 2) = substr(y.kmer, 1, {K - 1}) and x.counts = y.counts group by x.n",
         "dataset_name_parse": "select page_id, case when contains(coalesce(url, ''), '/') and not contains(regexp_extract(url, '([^/]*)$', 1), '.') then url else regexp_extract(regexp_extract(coalesce(url, ''), '([^/]*)$', 1), '^([^.]*)', 1) end as name from pages",
         "km_header_parse": "select doc_id, (case doc_id % 3 when 0 then doc_id % 70 when 1 then doc_id % 90 else 1 end)::int count, n_chars * 2 kc from documents",
         "rle_vectors": f"with {_RUNS}, r as (select item_id, s, c, e - s + 1 len from runs where source = (select min(source) from documents)), parts as (select item_id, s + 3 * p s, least(3, len - 3 * p) len, c from (select *, unnest(generate_series(0, (len - 1) // 3)) p from r)) select item_id, string_agg(len || 'x' || c, ',' order by s) runs, true lossless from parts group by item_id",

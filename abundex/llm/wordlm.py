@@ -188,6 +188,29 @@ def _before(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _pair_cuts(counts: np.ndarray, end: int, texts: int, parts: int, base: int, step: int = 1 << 20) -> np.ndarray:
+    """First pairs of all ranges but the first, so that each range has about as many tokens after its contexts; a
+    frequent context is cut by the rank of the next word. Reads the counts piece by piece."""
+    n_words = base - 1
+    total = sum(float(counts[lo : lo + step].sum()) for lo in range(0, n_words, step))  # the end is no context, the begin is
+    targets = np.arange(1, parts) * (total / parts)
+    out, run = [], 0.0
+    for lo in range(0, n_words + 1, step):
+        c = np.asarray(counts[lo : lo + step], np.float64)
+        if lo <= end < lo + len(c):
+            c[end - lo] = 0
+        if lo + step > n_words:
+            c = np.append(c, texts)
+        cum = run + np.cumsum(c)
+        own = targets[(targets >= run) & (targets < cum[-1])]
+        first = np.searchsorted(cum, own, "right")
+        before = np.where(first > 0, cum[first - 1], run)
+        share = (own - before) / np.maximum(cum[first] - before, 1)
+        out.append((first + lo).astype(np.uint64) * np.uint64(base) + (share * n_words).astype(np.uint64))
+        run = cum[-1]
+    return np.unique(np.concatenate(out))
+
+
 def fit(docs: DataFrame, parts: int | None = None) -> Model:
     """The model of all texts of docs."""
     spark = docs.sparkSession
@@ -208,14 +231,7 @@ def fit(docs: DataFrame, parts: int | None = None) -> Model:
     end = int(_ranks(words, np.array([xxhash.xxh3_64_intdigest(END)], np.uint64))[0])
     texts = int(counts[end])
     base = n_words + 1
-    cum = np.cumsum(np.append(np.asarray(counts), np.uint64(texts)), dtype=np.float64)
-    cum[end:] -= texts  # the end is no context
-    targets = np.arange(1, parts) * (cum[-1] / parts)
-    first = np.searchsorted(cum, targets, "right")
-    before = np.where(first > 0, cum[first - 1], 0.0)
-    share = (targets - before) / np.maximum(cum[first] - before, 1)
-    cuts = np.unique(first.astype(np.uint64) * np.uint64(base) + (share * n_words).astype(np.uint64))
-    del cum
+    cuts = _pair_cuts(counts, end, texts, parts, base)
 
     def pairs(texts):
         h, sizes = token_hashes(texts)

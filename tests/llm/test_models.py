@@ -171,6 +171,20 @@ def test_word_model_edges(spark):
     assert wordlm.score(df.limit(0), model).count() == 0
 
 
+def test_pair_cuts_are_even():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 50, 300).astype(np.uint64)
+    counts[17], end = 5000, 40
+    texts, base = int(counts[end]), 301
+    cuts = [wordlm._pair_cuts(counts, end, texts, 8, base, step) for step in (7, 100, 301, 1 << 20)]
+    assert all((c == cuts[0]).all() for c in cuts) and len(cuts[0]) == 7
+    context = np.append(counts, texts).astype(float)
+    context[end] = 0
+    keys = np.arange(301 * 301)
+    load = np.bincount(np.searchsorted(cuts[0], keys, "right"), context[keys // 301] / 301)
+    assert load.max() < 1.05 * load.mean()
+
+
 def test_packing():
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (wordlm.unpack_sorted(wordlm.pack_sorted(a)) == a).all()

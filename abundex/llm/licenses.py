@@ -26,6 +26,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abundex.llm.common import forget, keep
+
 SHINGLE = 5
 
 #: Public license statements and notices (fixed values).
@@ -120,14 +122,14 @@ def _token(shingles: Column, mask: int) -> Column:
     return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask))))
 
 
-def _windows(words: Column, shingles: Column, g: Class, wanted: list[str]) -> Column:
-    """(at, s) of the class's windows that hold one of its anchors; at and the words count from 0."""
+def _windows(words: Column, shingles: Column, g: Class, wanted: list[str], number: int) -> Column:
+    """(class, at, s) of the class's windows that hold one of its anchors; at and the words count from 0."""
     spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.element_at(words, i + 1).isin(wanted))
     first = lambda p: F.greatest(F.lit(0), F.ceil((p - (g.size + g.window - 2)) / F.lit(g.step)).cast("int"))
     numbers = F.array_distinct(F.flatten(F.transform(spots, lambda p: F.sequence(first(p), F.floor(p / F.lit(g.step)).cast("int")))))
     starts = F.filter(F.transform(numbers, lambda a: a * g.step), lambda i: i < F.size(shingles))
-    cuts = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(shingles, i + 1, F.lit(g.window)).alias("s")))
-    return F.when(F.size(shingles) > 0, cuts)
+    cuts = F.transform(starts, lambda i: F.struct(F.lit(number).alias("class"), i.alias("at"), F.slice(shingles, i + 1, F.lit(g.window)).alias("s")))
+    return F.when(F.size(shingles) > 0, cuts).otherwise(F.array().cast("array<struct<class:int,at:int,s:array<bigint>>>"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 1e-7, max_templates: int = 5000) -> DataFrame:
@@ -141,19 +143,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         return spark.createDataFrame([], schema)
     wanted = {a for t in templates.values() if (w := words_of(t)) for a in anchors(w, min(SHINGLE, len(w)), containment)}
     wanted = {a for a in wanted if not any(b != a and b in a for b in wanted)}  # a text with a has b inside
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # lower() maps ASCII letters as the words do, and may add matches of anchors, never lose one
     any_anchor = F.lit(False)
     for a in sorted(wanted):
         any_anchor = any_anchor | F.contains("_lower", F.lit(a))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("_lower")).where(any_anchor).select("doc_id", _words(F.col("_lower")).alias("w"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("text").alias("_lower")).where(any_anchor)
+    texts = keep(some.select("doc_id", _words(F.col("text")).alias("w")), "license-words")
     hashed = texts.select("doc_id", "w", *[_shingles(F.col("w"), size).alias(f"s{size}") for size in sorted({g.size for g in groups})])
+    cuts = [_windows(F.col("w"), F.col(f"s{g.size}"), g, sorted({a for name, _ in g.members for a in anchors(words_of(templates[name]), g.size, containment)}), c) for c, g in enumerate(groups)]
+    windows = keep(hashed.select("doc_id", F.explode(F.concat(*cuts)).alias("x")).select("doc_id", "x.*"), "license-windows")
+    forget(texts)
     found = None
-    for g in groups:
-        cuts = _windows(F.col("w"), F.col(f"s{g.size}"), g, sorted({a for name, _ in g.members for a in anchors(words_of(templates[name]), g.size, containment)}))
-        windows = hashed.select("doc_id", F.explode(cuts).alias("x")).select("doc_id", "x.at", "x.s")
+    for c, g in enumerate(groups):
         rows = [(j, t, name, sorted(set(shingles))) for name, shingles in g.members for j, t in enumerate(g.tokens(shingles))]
         known = spark.createDataFrame(rows, "band int, token long, license_id string, template array<long>")
-        banded = windows.select("doc_id", "at", "s", F.posexplode(F.array(*[_token(F.col("s"), m) for m in g.masks])).alias("band", "token"))
+        banded = windows.where(F.col("class") == c).select("doc_id", "at", "s", F.posexplode(F.array(*[_token(F.col("s"), m) for m in g.masks])).alias("band", "token"))
         # the table has one row a template and band, at most max_templates in all classes
         hits = banded.join(F.broadcast(known), ["band", "token"]).select("doc_id", "at", "license_id", (F.size(F.array_intersect("template", "s")) / F.size("template")).alias("containment")).where(F.col("containment") >= containment)
         found = hits if found is None else found.unionByName(hits)

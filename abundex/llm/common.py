@@ -24,10 +24,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/abundex-{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and any executor can be lost."""
+def keep(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and any executor can be lost.
+
+    rows: about how many there are; few rows go to few files."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if rows is not None and (files := rows // 100_000 + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._abundex_path = path

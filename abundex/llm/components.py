@@ -45,25 +45,26 @@ def contract(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(run, "u long, v long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """edges have u > v. Large: neighbours above u go to u's least neighbour; small: those below u do."""
     near = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v") if large else edges
-    least = keep(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")
+    least = keep(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least", n)
     both = near.join(least, "u")
     out = both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else both.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-    kept = keep(out.where("u > v").distinct(), "cc")
+    kept = keep(out.where("u > v").distinct(), "cc", n)
     forget(least)
     return kept
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, label) of every vertex that isn't the least of its component; edges are (u, v) longs."""
-    e = keep(contract(edges).distinct(), "cc")
+    e = keep(contract(edges).distinct(), "cc", edges.count())
+    n = e.count()
     state = None
     for _ in range(max_rounds):
-        big = _star(e, True)
+        big = _star(e, True, n)
         forget(e)
-        e = _star(big, False)
+        e = _star(big, False, n)
         forget(big)
         new = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:

@@ -6,11 +6,11 @@ minwise tokens. Documents with equal sets collapse into a class; the join runs o
 Each of several independent trees sends a representative down one or two minwise tokens chosen by the node (1 / 0.8 in
 the mean), so documents that share the chosen tokens meet in a node. Nodes of at most LIMIT members are compared
 exhaustively on signatures; pairs that pass the estimate, set five deviations below the threshold, are confirmed on
-the full sets. In larger nodes, random blocks of LIMIT members are compared first, and the best edges of each block
-confirmed; a node whose members then form one component is done, a node with few members outside its largest
-component compares those with all others, and any other node branches again. Work on a dense group is therefore
-linear in its size, and nothing is capped: every pair that meets in a node and passes the estimate is either confirmed
-or already connected. The number of trees follows from the target recall.
+the full sets. The best edges come first: a spanning forest of each small node, and of random blocks of LIMIT members
+of some large ones. By the components that these make, a large node whose members form one component is done, one with
+few members outside its largest component compares those with all others, and any other branches again. Work on a
+dense group is therefore linear in its size, and nothing is capped: every pair that meets in a node and passes the
+estimate is either confirmed or already connected. The number of trees follows from the target recall.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text with fewer words than a
 shingle is one shingle; rows with the same doc_id are one document, linked; a null doc_id stands alone and is kept;
@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from abundex.llm.common import forget, keep, small_batches
 from abundex.llm.components import components
 
-WIDTH = 128
+WIDTH = 512
+QUICK = 64
 LIMIT = 64
 OUTSIDERS = 256
+#: Ids that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _A, _B = (_rng.integers(1, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)), _rng.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32)
@@ -64,8 +67,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     """Minwise tokens (32 bits) under WIDTH hash functions."""
     low = (s >> np.uint64(32)).astype(np.uint32)
     best = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(low), 4096):
-        x = low[lo : lo + 4096, None] * _A
+    for lo in range(0, len(low), 1024):
+        x = low[lo : lo + 1024, None] * _A
         x += _B
         x ^= x >> np.uint32(15)
         np.minimum(best, x.min(0), out=best)
@@ -113,7 +116,7 @@ def _scan(docs: DataFrame, size: int, trees: int) -> DataFrame:
                     continue
                 x = signature(s)
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sig.append((x & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
+                sig.append((x & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 nodes.append(child(root, coordinate, x[coordinate]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "sig", "nodes"])
 
@@ -121,12 +124,19 @@ def _scan(docs: DataFrame, size: int, trees: int) -> DataFrame:
 
 
 def _similar(sig: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float, least: float) -> np.ndarray:
-    """Estimates between all rows of two blocks; 0 where sizes or the estimate rule a link out."""
-    est = np.empty((len(sig), len(other)), np.float32)
+    """Estimates between all rows of two blocks; 0 where sizes or the estimate rule a link out.
+
+    Signatures hold the low byte of each token, so one token in 256 agrees by chance. Pairs whose first QUICK tokens
+    agree far too seldom (eight deviations) aren't looked at further."""
+    est = np.zeros((len(sig), len(other)), np.float32)
+    few = QUICK * (least - 8 * (least * (1 - least) / QUICK) ** 0.5)
     for i in range(len(sig)):
-        est[i] = (other == sig[i]).mean(1)
-    fit = np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :]) - 1e-9
-    est[~fit | (est < least)] = 0
+        near = np.minimum(n[i], m) >= threshold * np.maximum(n[i], m) - 1e-9
+        near &= np.count_nonzero(other[:, :QUICK] == sig[i, :QUICK], axis=1) >= few
+        j = np.flatnonzero(near)
+        if len(j):
+            est[i, j] = (np.count_nonzero(other[j] == sig[i], axis=1) / WIDTH - 1 / 256) / (1 - 1 / 256)
+    est[est < least] = 0
     return est
 
 
@@ -155,17 +165,15 @@ def _forest(est: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> tuple[list[
     return first, rest
 
 
-_MEMBER = "array<struct<id:long,n:long,label:long,sig:binary>>"
-
-
 def _unpack(members: list[dict]):
     ids, n, labels = (np.array([m[k] for m in members], np.int64) for k in ("id", "n", "label"))
-    return ids, n, labels, np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, WIDTH)
+    return ids, n, labels, np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(-1, WIDTH)
 
 
 def _compare_blocks(live: DataFrame, threshold: float, least: float) -> DataFrame:
     """(u, v, later): pairs found in nodes, or in random blocks of large nodes (then only the forest's)."""
     parts = F.ceil(F.col("cnt") / F.lit(LIMIT))
+    live = live.where((F.col("cnt") <= LIMIT) | (F.pmod("node", F.lit(3)) == 0))  # each member is in several trees' large nodes
     blocks = live.withColumn("block", F.pmod(F.xxhash64("id", "node"), parts)).groupBy("node", "block").agg(F.first("cnt").alias("cnt"), F.collect_list(F.struct("id", "n", "label", "sig")).alias("members"))
 
     def run(batches):
@@ -189,25 +197,44 @@ def _pairs(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(later, pa.bool_())], names=["u", "v", "later"])
 
 
-def _compare_outsiders(live: DataFrame, outsiders: DataFrame, threshold: float, least: float) -> DataFrame:
-    """(u, v, later) between the few members outside a node's largest component and all of its members."""
-    few = outsiders.groupBy("node").agg(F.collect_list(F.struct("id", "n", "label", "sig")).alias("outside"))
-    parts = F.ceil(F.col("cnt") / F.lit(1000))
-    chunks = live.withColumn("block", F.pmod(F.xxhash64("id", "node"), parts)).groupBy("node", "block").agg(F.collect_list(F.struct("id", "n", "label", "sig")).alias("members"))
+#: Shingles of a block of members, and of a block of outsiders, that meet in one row.
+BLOCK_SHINGLES = 200_000
+
+
+def _blocks(rows: DataFrame, what: str) -> DataFrame:
+    """Members of each node gathered in blocks of about BLOCK_SHINGLES; node_n has the node's shingles."""
+    parts = F.ceil(F.col("node_n") / F.lit(BLOCK_SHINGLES))
+    return rows.groupBy("node", F.pmod(F.xxhash64("id", "node"), parts).alias("block")).agg(F.collect_list(F.struct("id", "n", "label", "sig", "s")).alias(what))
+
+
+def _confirm_outsiders(few: DataFrame, docs: DataFrame, size: int, threshold: float, least: float) -> DataFrame:
+    """Links (u, v) between the members outside a node's largest component and all of its members.
+
+    Pairs that pass the estimate are confirmed where they meet, on the full sets, so that only links leave the task: a
+    dense group has many pairs just below the threshold."""
+    ids = few.select(F.col("id").alias("doc_id")).distinct()
+    rows = few.join(shingle_sets(ids, docs, size), "id")
+    sums = rows.groupBy("node").agg(F.sum("n").alias("node_n"))
+    out_sums = rows.where("label <> top").groupBy("node").agg(F.sum("n").alias("node_n"))
+    members = _blocks(rows.join(sums, "node"), "members")
+    outside = _blocks(rows.where("label <> top").join(out_sums, "node"), "outside").select("node", "outside")
+    per_cent = round(threshold * 100)
 
     def run(batches):
         for b in batches:
-            out: list[tuple[int, int, bool]] = []
-            for outside, members in zip(b["outside"].to_pylist(), b["members"].to_pylist()):
-                ids, n, labels, sig = _unpack(outside)
-                ids2, n2, labels2, sig2 = _unpack(members)
+            out: list[tuple[int, int]] = []
+            for i in range(b.num_rows):
+                ids, n, labels, sig = _unpack(own := b["outside"][i].as_py())
+                ids2, n2, labels2, sig2 = _unpack(others := b["members"][i].as_py())
                 est = _similar(sig, sig2, n, n2, threshold, least)
-                for i, j in zip(*np.nonzero(est)):
-                    if labels[i] != labels2[j]:
-                        out.append((max(ids[i], ids2[j]), min(ids[i], ids2[j]), True))
-            yield _pairs(out)
+                est[labels[:, None] == labels2[None, :]] = 0
+                for x, y in zip(*np.nonzero(est)):
+                    if linked(own[x]["s"], others[y]["s"], per_cent):
+                        out.append((max(ids[x], ids2[y]), min(ids[x], ids2[y])))
+            u, v = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return chunks.join(few, "node").select("outside", "members").mapInArrow(run, "u long, v long, later boolean").distinct()
+    return members.join(outside, "node").select("outside", "members").mapInArrow(run, "u long, v long").distinct()
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -218,16 +245,16 @@ def _branch(rows: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             node = b["node"].to_numpy(zero_copy_only=False).view(np.uint64)
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, WIDTH)
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, WIDTH)
             a, other, second = chosen(node)
             row = np.arange(len(node))
             at = np.concatenate((row, row[second]))
             c = np.concatenate((a, other[second]))
             new = child(node[at], c, sig[at, c])
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(b[x].take(take) for x in ("id", "n", "sig"))], names=["node", "id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *(b[x].take(take) for x in ("id", "n", "label", "sig"))], names=["node", "id", "n", "label", "sig"])
 
-    return rows.select("node", "id", "n", "sig").mapInArrow(run, "node long, id long, n long, sig binary")
+    return rows.select("node", "id", "n", "label", "sig").mapInArrow(run, "node long, id long, n long, label long, sig binary")
 
 
 def _live(rows: DataFrame) -> DataFrame:
@@ -236,29 +263,38 @@ def _live(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "node")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have intersection >= threshold * union."""
-    per_cent = round(threshold * 100)
-    pairs = keep(pairs.select("u", "v").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def shingle_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, s): the packed shingle sets of the documents in ids(doc_id)."""
+    ids = keep(ids, "ids")
+    if ids.count() <= MAX_BROADCAST:
+        ids = F.broadcast(ids)
 
     def sets(batches):
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingles(t, size).tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["id", "s"])
 
-    full = keep(small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+    return keep(small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+
+
+def linked(x: bytes, y: bytes, per_cent: int) -> bool:
+    """Whether two packed sets have 100 * intersection >= per_cent * union; empty sets are linked with nothing."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate((x, y))
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same > 0 and 100 * same >= per_cent * (len(both) - same)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets have intersection >= threshold * union."""
+    per_cent = round(threshold * 100)
+    pairs = keep(pairs.select("u", "v").distinct(), "pairs")
+    full = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), docs, size)
 
     def check(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(same > 0 and 100 * same >= per_cent * (len(both) - same))
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array([linked(x, y, per_cent) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["u"].filter(mask), b["v"].filter(mask)], names=["u", "v"])
 
     left = pairs.join(full.select(F.col("id").alias("u"), F.col("s").alias("x")), "u")
@@ -274,45 +310,38 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str = "id", nam
     return rows.join(own, F.col(column) == F.col("_l"), "left").withColumn(name, F.coalesce("_m", column)).drop("_l", "_m")
 
 
-def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, max_levels: int = 64) -> DataFrame | None:
+def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame | None:
     """Component labels (id, label) of the representatives (id, n, sig, nodes); None without any link."""
     least = threshold - 5 * (threshold * (1 - threshold) / WIDTH) ** 0.5
-    edges = None
-    labels = None
-    pending = []
-    wide = reps.select("id", "n", "sig")
     first = reps.select("id", F.explode("nodes").alias("node"))
-    live = keep(_live(first).join(wide, "id"), "live")
-    for _ in range(max_levels):
-        found = keep(_compare_blocks(_labelled(live, labels), threshold, least), "found")
-        pending.append(found.where("later").select("u", "v"))
-        now = found.where(~F.col("later"))
-        if not now.isEmpty():
-            new = confirm(now, docs, size, threshold)
-            edges = new if edges is None else edges.unionByName(new)
-            labels = keep(components(edges), "labels")
-        large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large")
-        forget(live)
+    live = keep(_live(first).join(reps.select("id", "n", "sig"), "id"), "live")
+    found = keep(_compare_blocks(_labelled(live, None), threshold, least), "found")
+    edges = confirm(found.where(~F.col("later")), docs, size, threshold)
+    labels = None if edges.isEmpty() else keep(components(edges), "labels")
+    pending = [found.where("later").select("u", "v")]
+    rows = live.where(F.col("cnt") > LIMIT).count()
+    large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large", rows)
+    forget(live)
+    while rows:  # similar pairs that stay unlinked get fewer with each level, as 1.25 * 0.8 is no more than 1
         per = large.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-        tops = keep(per.select("node", F.col("top.label").alias("top"), (F.col("all") - F.col("top.c")).alias("outside")).where("outside > 0"), "tops")
-        mixed = keep(large.join(tops, "node"), "mixed")
-        forget(large)
+        tops = keep(per.select("node", F.col("top.label").alias("top"), (F.col("all") - F.col("top.c")).alias("outside")).where("outside > 0"), "tops", rows)
+        mixed = keep(large.join(tops, "node"), "mixed", rows)
+        forget(large, tops, live)
         few = mixed.where(F.col("outside") <= OUTSIDERS)
         if not few.isEmpty():
-            pending.append(keep(_compare_outsiders(few, few.where("label <> top"), threshold, least), "outsiders").select("u", "v"))
-        grown = keep(_live(_branch(mixed.where(F.col("outside") > OUTSIDERS))), "live")
+            edges = edges.unionByName(keep(_confirm_outsiders(few, docs, size, threshold, least), "outsiders", rows))
+        branching = mixed.where(F.col("outside") > OUTSIDERS)
+        live = keep(_live(_branch(branching)), "live", 2 * rows)
         forget(mixed)
-        if grown.isEmpty():
-            break
-        live = grown
+        pending.append(keep(_compare_blocks(live.where(F.col("cnt") <= LIMIT), threshold, least), "found", rows).select("u", "v"))
+        large = live.where(F.col("cnt") > LIMIT)
+        rows = large.count()
     rest = pending[0]
     for p in pending[1:]:
         rest = rest.unionByName(p)
     rest = _labelled(_labelled(rest.distinct(), labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select("u", "v")
-    new = confirm(rest, docs, size, threshold)
-    if new.isEmpty():
-        return labels
-    return keep(components(new if edges is None else edges.unionByName(new)), "labels")
+    edges = edges.unionByName(confirm(rest, docs, size, threshold))
+    return None if edges.isEmpty() else keep(components(edges), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:

@@ -26,7 +26,7 @@ from abundex.llm.common import Arrays, crc_mod, forget, keep, rename_clashes, sm
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"  # no word holds white space
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 ADDED = ["n_tokens", "n_known", "base_score", "score"]
 
 
@@ -352,7 +352,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             lo, size = 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
-                if size >= 1 << 22 or i == len(texts) - 1:
+                if size >= 1 << 21 or i == len(texts) - 1:
                     own = b.slice(lo, i + 1 - lo)
                     yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, log_probs(model, texts[lo : i + 1]))], names=[*b.schema.names, *ADDED])
                     lo, size = i + 1, 0

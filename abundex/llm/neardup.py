@@ -10,7 +10,11 @@ the full sets. The best edges come first: a spanning forest of each small node,
 of some large ones. By the components that these make, a large node whose members form one component is done, one with
 few members outside its largest component compares those with all others, and any other branches again. Work on a
 dense group is therefore linear in its size, and nothing is capped: every pair that meets in a node and passes the
-estimate is either confirmed or already connected. The number of trees follows from the target recall.
+estimate is either confirmed or already connected.
+
+The number of trees follows from the target recall and the depth: the chance that a pair stays together in a tree falls
+with every branching, so members of nodes that branched deeper than the trees so far allow for go down further trees
+(with fewer members around them), until their number meets the target at the depth that was reached.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text with fewer words than a
 shingle is one shingle; rows with the same doc_id are one document, linked; a null doc_id stands alone and is kept;
@@ -34,6 +38,8 @@ WIDTH = 512
 QUICK = 64
 LIMIT = 64
 OUTSIDERS = 256
+#: Branchings that the trees of the scan allow for; members that go deeper get further trees.
+LEVELS = 3
 #: Ids that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -89,12 +95,20 @@ def roots(trees: int) -> np.ndarray:
     return _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def trees_for(recall: float, threshold: float, levels: int = 3) -> int:
+def trees_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
     """Trees after which a pair at the threshold has met below `levels` branchings with the target recall."""
     one = 0.75 * threshold + 0.25 * (1 - (1 - threshold) ** 2)
     return math.ceil(math.log(1 - recall) / math.log(1 - one**levels))
 
 
+def trees_at(recall: float, threshold: float, levels: int) -> int:
+    """The same by the exact recursion for the chance that any common node is left, which deep nodes need."""
+    one = 1.0
+    for _ in range(levels):
+        one = 0.75 * threshold * one + 0.25 * (1 - (1 - threshold * one) ** 2)
+    return math.ceil(math.log(1 - recall) / math.log(1 - one))
+
+
 def _scan(docs: DataFrame, size: int, trees: int) -> DataFrame:
     """doc_id, n, key (hash of the set; null without shingles), sig, nodes (first-level nodes of all trees)."""
     start = roots(trees)
@@ -310,38 +324,87 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str = "id", nam
     return rows.join(own, F.col(column) == F.col("_l"), "left").withColumn(name, F.coalesce("_m", column)).drop("_l", "_m")
 
 
-def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame | None:
-    """Component labels (id, label) of the representatives (id, n, sig, nodes); None without any link."""
-    least = threshold - 5 * (threshold * (1 - threshold) / WIDTH) ** 0.5
-    first = reps.select("id", F.explode("nodes").alias("node"))
-    live = keep(_live(first).join(reps.select("id", "n", "sig"), "id"), "live")
-    found = keep(_compare_blocks(_labelled(live, None), threshold, least), "found")
-    edges = confirm(found.where(~F.col("later")), docs, size, threshold)
-    labels = None if edges.isEmpty() else keep(components(edges), "labels")
-    pending = [found.where("later").select("u", "v")]
-    rows = live.where(F.col("cnt") > LIMIT).count()
-    large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large", rows)
-    forget(live)
+def _further(reps: DataFrame, first: int, last: int) -> DataFrame:
+    """(node, id, n, sig) of the representatives in the first-level nodes of trees first to last - 1."""
+    start = roots(last)[first:]
+    a, b2, second = chosen(start)
+    root, coordinate = np.concatenate((start, start[second])), np.concatenate((a, b2[second]))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+            at = np.repeat(np.arange(b.num_rows), len(root))
+            c = np.tile(coordinate, b.num_rows)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(child(np.tile(root, b.num_rows), c, sig[at, c]).view(np.int64)), *(b[x].take(take) for x in ("id", "n", "sig"))], names=["node", "id", "n", "sig"])
+
+    return small_batches(reps.select("id", "n", "sig")).mapInArrow(run, "node long, id long, n long, sig binary")
+
+
+def _descend(large: DataFrame, rows: int, docs: DataFrame, size: int, threshold: float, least: float) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Links of outsiders, pairs to be confirmed and (id, depth) of branching members, of large nodes of level 1."""
+    edges, pending, depths, level = [], [], [], 1
     while rows:  # similar pairs that stay unlinked get fewer with each level, as 1.25 * 0.8 is no more than 1
         per = large.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
         tops = keep(per.select("node", F.col("top.label").alias("top"), (F.col("all") - F.col("top.c")).alias("outside")).where("outside > 0"), "tops", rows)
         mixed = keep(large.join(tops, "node"), "mixed", rows)
-        forget(large, tops, live)
+        forget(large, tops)
         few = mixed.where(F.col("outside") <= OUTSIDERS)
         if not few.isEmpty():
-            edges = edges.unionByName(keep(_confirm_outsiders(few, docs, size, threshold, least), "outsiders", rows))
+            edges.append(keep(_confirm_outsiders(few, docs, size, threshold, least), "outsiders", rows))
         branching = mixed.where(F.col("outside") > OUTSIDERS)
         live = keep(_live(_branch(branching)), "live", 2 * rows)
+        level += 1
+        if level > LEVELS:
+            depths.append(keep(branching.select("id").distinct().withColumn("depth", F.lit(level)), "depths", rows))
         forget(mixed)
         pending.append(keep(_compare_blocks(live.where(F.col("cnt") <= LIMIT), threshold, least), "found", rows).select("u", "v"))
-        large = live.where(F.col("cnt") > LIMIT)
+        large = keep(live.where(F.col("cnt") > LIMIT), "large", rows)
+        forget(live)
         rows = large.count()
-    rest = pending[0]
-    for p in pending[1:]:
-        rest = rest.unionByName(p)
-    rest = _labelled(_labelled(rest.distinct(), labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select("u", "v")
-    edges = edges.unionByName(confirm(rest, docs, size, threshold))
-    return None if edges.isEmpty() else keep(components(edges), "labels")
+    return edges, pending, depths
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float) -> DataFrame | None:
+    """Component labels (id, label) of the representatives (id, n, sig, nodes); None without any link."""
+    least = threshold - 5 * (threshold * (1 - threshold) / WIDTH) ** 0.5
+    first = reps.select("id", F.explode("nodes").alias("node"))
+    live = keep(_live(first).join(reps.select("id", "n", "sig"), "id"), "live")
+    found = keep(_compare_blocks(_labelled(live, None), threshold, least), "found")
+    edges = confirm(found.where(~F.col("later")), docs, size, threshold)
+    labels = None if edges.isEmpty() else keep(components(edges), "labels")
+    rows = live.where(F.col("cnt") > LIMIT).count()
+    large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large", rows)
+    forget(live)
+    outside, pending, depths = _descend(large, rows, docs, size, threshold, least)
+    pending.append(found.where("later").select("u", "v"))
+    step = done = trees_for(recall, threshold, LEVELS)
+    while True:
+        rest = _labelled(_labelled(_union(pending).distinct(), labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select("u", "v")
+        edges = _union([edges, *outside, confirm(rest, docs, size, threshold)])
+        labels = None if edges.isEmpty() else keep(components(edges), "labels")
+        most = _union(depths).agg(F.max("depth")).first()[0] if depths else 0
+        if not most or (need := trees_at(recall, threshold, most)) <= done:
+            return labels
+        level = next(d for d in range(1, most + 1) if trees_at(recall, threshold, d) > done)
+        deep = keep(_union(depths).where(F.col("depth") >= level).groupBy("id").agg(F.max("depth").alias("depth")), "deep")
+        last = min(done + step, need)
+        live = keep(_live(_labelled(_further(reps.join(deep, "id", "left_semi"), done, last), labels)), "live")
+        large = keep(live.where(F.col("cnt") > LIMIT), "large")
+        found = keep(_compare_blocks(live.where(F.col("cnt") <= LIMIT), threshold, least), "found").select("u", "v")
+        forget(live)
+        outside, pending, more = _descend(large, large.count(), docs, size, threshold, least)
+        pending.append(found)
+        depths, done = [deep, *more], last
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
@@ -353,7 +416,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     reps = keep(some.join(classes.select(F.col("key").alias("k"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("k"))).select(F.col("doc_id").alias("id"), "n", "sig", "nodes").dropDuplicates(["id", "sig"]), "reps")
     alone = keep(scanned.where(F.col("key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id")), "alone")
     forget(scanned)
-    labels = links(reps, docs, size, threshold)
+    labels = links(reps, docs, size, threshold, recall)
     forget(reps)
     linked = _labelled(members, labels, "rep", "component_id").select("doc_id", "n", "component_id")
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -350,6 +350,21 @@ def test_recall_sets_the_trees():
     assert neardup.trees_for(0.99999, 0.8) > neardup.trees_for(0.99, 0.8) > neardup.trees_for(0.99, 0.95)
 
 
+def test_deep_nodes_get_further_trees(spark, monkeypatch):
+    assert [neardup.trees_at(0.99999, 0.8, d) for d in (3, 9, 25)] == [12, 24, 55]
+    rng = random.Random(3)
+    shared = [f"h{i}" for i in range(60)]  # pairwise similarity of about 0.5, unlinked
+    rows = [(i, " ".join(shared + [f"r{rng.randrange(10**9)}" for _ in range(30)])) for i in range(60)]
+    monkeypatch.setattr(neardup, "LIMIT", 8)
+    monkeypatch.setattr(neardup, "OUTSIDERS", 8)
+    ran = []
+    plain = neardup._further
+    monkeypatch.setattr(neardup, "_further", lambda reps, first, last: ran.append((first, last)) or plain(reps, first, last))
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {(d, c) for d, _, c in near(rows, 2)}
+    assert ran and ran[0][0] == 13 and all(a[1] == b[0] for a, b in zip(ran, ran[1:]))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)] + [(5000, 5000)]

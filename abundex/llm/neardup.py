@@ -374,13 +374,14 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float) -> DataFrame | None:
-    """Component labels (id, label) of the representatives (id, n, sig, nodes); None without any link."""
+def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, recall: float, same: DataFrame) -> DataFrame | None:
+    """Component labels (id, label) of the representatives (id, n, sig, nodes) and of the ids in the edges `same`; None
+    without any link."""
     least = threshold - 5 * (threshold * (1 - threshold) / WIDTH) ** 0.5
     first = reps.select("id", F.explode("nodes").alias("node"))
     live = keep(_live(first).join(reps.select("id", "n", "sig"), "id"), "live")
     found = keep(_compare_blocks(_labelled(live, None), threshold, least), "found")
-    edges = confirm(found.where(~F.col("later")), docs, size, threshold)
+    edges = confirm(found.where(~F.col("later")), docs, size, threshold).unionByName(same)
     labels = None if edges.isEmpty() else keep(components(edges), "labels")
     rows = live.where(F.col("cnt") > LIMIT).count()
     large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large", rows)
@@ -414,9 +415,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     classes = keep(some.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     members = keep(some.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep"), "members")
     reps = keep(some.join(classes.select(F.col("key").alias("k"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("k"))).select(F.col("doc_id").alias("id"), "n", "sig", "nodes").dropDuplicates(["id", "sig"]), "reps")
+    # an id with several texts unites their classes
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("doc_id")
+    same = keep(members.select("doc_id", "rep").distinct().where("doc_id <> rep").join(several, "doc_id").select(F.greatest("doc_id", "rep").alias("u"), F.least("doc_id", "rep").alias("v")), "same")
     alone = keep(scanned.where(F.col("key").isNull() | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id")), "alone")
     forget(scanned)
-    labels = links(reps, docs, size, threshold, recall)
+    labels = links(reps, docs, size, threshold, recall, same)
     forget(reps)
     linked = _labelled(members, labels, "rep", "component_id").select("doc_id", "n", "component_id")
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles")

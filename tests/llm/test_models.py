@@ -365,6 +365,14 @@ def test_deep_nodes_get_further_trees(spark, monkeypatch):
     assert ran and ran[0][0] == 13 and all(a[1] == b[0] for a, b in zip(ran, ran[1:]))
 
 
+def test_an_id_with_several_texts_unites_them(spark):
+    a, b = "one two three four five six", "red green blue white black grey"
+    df = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b), (9, "no copy of any other text")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(2, 2), (5, 2), (5, 2), (7, 2), (9, 9)]
+    assert sorted(r["doc_id"] for r in neardup.dedup_documents(df).collect()) == [2, 9]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)] + [(5000, 5000)]

@@ -247,6 +247,19 @@ def test_less_than_one_block_of_deviation():
         assert sorted(np.concatenate([mixing.slots_of(p, np.arange(n)) if n else [] for p, n in zip(phases, b)])) == list(range(sum(b)))
 
 
+@pytest.mark.parametrize("w", [[0.5, 0.3, 0.2], [(i + 1) ** 0.5 for i in range(20)], [0.0001, 0.6, 0.3999]])
+def test_weights_are_met_over_many_blocks(w):
+    share = np.array(w) / sum(w)
+    blocks = [24_000] * len(w)
+    slots = mixing.plan(blocks, w)
+    first = min(n / x for n, x in zip(blocks, share))  # when the first source runs out
+    t = np.arange(1, int(first))
+    for s, x in zip(slots, share):
+        got = np.searchsorted(s, t, "left")
+        assert np.abs(got - x * t).max() < 1 + 1e-6
+    assert all((a == b).all() for a, b in zip(slots, mixing.plan(blocks, w, 1000)))
+
+
 def test_mixing_rows(spark):
     rows = [(i, f"t{i}", None if i % 10 == 0 else ["a", "b", "c"][i % 3], i) for i in range(1000)] + [(5, "t5", "c", 5)] * 3 + [(None, None, "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_block long").withColumn("_k", F.lit(1)).withColumn("q", F.lit("x"))

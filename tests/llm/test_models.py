@@ -260,6 +260,13 @@ def test_weights_are_met_over_many_blocks(w):
     assert all((a == b).all() for a, b in zip(slots, mixing.plan(blocks, w, 1000)))
 
 
+def test_any_number_of_sources(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 2500).alias("source"))
+    got = mixing.mix_sources(df).toPandas()
+    assert len(got) == 6000 and sorted(got.mix_block.unique()) == list(range(2500))
+    assert got.groupby("mix_block").source.nunique().max() == 1
+
+
 def test_mixing_rows(spark):
     rows = [(i, f"t{i}", None if i % 10 == 0 else ["a", "b", "c"][i % 3], i) for i in range(1000)] + [(5, "t5", "c", 5)] * 3 + [(None, None, "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_block long").withColumn("_k", F.lit(1)).withColumn("q", F.lit("x"))

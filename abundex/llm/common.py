@@ -83,6 +83,11 @@ class Arrays:
             return np.empty(0, dtype)
         return np.memmap(path, dtype, "w+", shape=(size,))
 
+    def discard(self, names: list[str]) -> None:
+        """Delete raw files that only the driver needed."""
+        for name in names:
+            os.remove(os.path.join(self._dir, f"{name}.raw"))
+
     def publish(self, names: list[str] | None = None) -> Arrays:
         """Send the named raw files (or all files) to the executors, where the folder isn't a mounted one."""
         if self._ship:

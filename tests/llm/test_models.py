@@ -99,6 +99,22 @@ def test_language_id_edges(spark):
     assert langid.predict(df.limit(0)).count() == 0
 
 
+def test_all_grams_are_kept(spark):
+    rng = np.random.default_rng(5)
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    df = spark.createDataFrame([("zh", han(3000)) for _ in range(180)] + [("en", "the cat went home and the dog ran"), ("de", "der hund ging heim")], "lang string, text string")
+    rows = langid.count_grams(df).toArrow().to_pydict()
+    which, n = np.array(rows["lang"], object), np.array(rows["n"])
+    g = np.array([[ord(c) for c in x] for x in rows["gram"]], np.uint32)
+    langs = ["de", "en", "zh"]
+    assert (which == "zh").sum() > 500_000
+    want = langid.kneser_ney(langs, {x: (g[which == x], n[which == x]) for x in langs})
+    got = langid.fit(df).tables()
+    assert set(got) == set(want)
+    for name, a in want.items():
+        assert np.allclose(got[name], a, atol=1e-5) if a.dtype == np.float32 else (got[name] == a).all(), name
+
+
 def test_bounded_keeps_the_frequent(spark):
     counts = spark.createDataFrame([("en", f"g{i:03d}", i) for i in range(1, 50)] + [("de", "abcd", 1)], "lang string, gram string, n long")
     kept = langid.bounded(counts, 10).toPandas()

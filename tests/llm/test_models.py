@@ -115,6 +115,17 @@ def test_all_grams_are_kept(spark):
         assert np.allclose(got[name], a, atol=1e-5) if a.dtype == np.float32 else (got[name] == a).all(), name
 
 
+def test_rare_languages_can_reject(spark):
+    rng = random.Random(6)
+    say = lambda words, n: [" ".join(rng.choice(words) for _ in range(12)) for _ in range(n)]
+    en, de = "the cat dog went home and ran away from house".split(), "der hund und katze ging heim weg vom haus".split()
+    rows = [("en", t) for t in say(en, 2000)] + [("en", "the cat " * 5)] * 3000 + [("de", t) for t in say(de, 40)] + [("fi", "kissa meni kotiin")] * 3
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), calibrate_rows=100)
+    assert sorted(model.calibration) == [0, 1, 2]
+    out = langid.identify(spark.createDataFrame([(1, " ".join(de)), (2, "qzx jkv wqp zzk xqj " * 20)], "doc_id long, text string"), model).toPandas().set_index("doc_id")
+    assert not out.rejected[1] and out.rejected[2]
+
+
 def test_bounded_keeps_the_frequent(spark):
     counts = spark.createDataFrame([("en", f"g{i:03d}", i) for i in range(1, 50)] + [("de", "abcd", 1)], "lang string, gram string, n long")
     kept = langid.bounded(counts, 10).toPandas()

@@ -4,17 +4,22 @@ One scan gives every document its shingle count, a 128-bit hash of its whole shi
 minwise tokens. Documents with equal sets collapse into a class; the join runs over one representative of each.
 
 Each of several independent trees sends a representative down one or two minwise tokens chosen by the node (1 / 0.8 in
-the mean), so documents that share the chosen tokens meet in a node. Nodes of at most LIMIT members are compared
+the mean), so documents that share the chosen tokens meet in a node. Nodes of at most BLOCK members are compared
 exhaustively on signatures; pairs that pass the estimate, set five deviations below the threshold, are confirmed on
-the full sets. The best edges come first: a spanning forest of each small node, and of random blocks of LIMIT members
-of some large ones. By the components that these make, a large node whose members form one component is done, one with
-few members outside its largest component compares those with all others, and any other branches again. Work on a
-dense group is therefore linear in its size, and nothing is capped: every pair that meets in a node and passes the
-estimate is either confirmed or already connected.
+the full sets. The best edges come first: a spanning forest of each small node, and of random blocks of BLOCK members
+of some large ones. By the components that these make, a large node whose members form one component is done. In any
+other of at most LIMIT members, those outside its largest component are compared with all others. Where the pairs that
+pass the estimate are many for the members (a dense group of copies near the threshold), they aren't emitted: tiles of
+the members' full sets meet, a matrix product counts all intersections exactly, and only links that unite two components
+leave the task. Nodes beyond LIMIT branch again, but for dense ones of at most DENSE_LIMIT members (a tenth of the pairs
+of a sample pass), which branching would hardly thin out: their tiles meet, spread over tasks. So a member takes part in
+at most DENSE_LIMIT comparisons a tree, a branching makes 1.25 rows of one in the mean, and nothing is capped: every
+pair that meets in a node and passes the estimate is confirmed or already connected.
 
 The number of trees follows from the target recall and the depth: the chance that a pair stays together in a tree falls
 with every branching, so members of nodes that branched deeper than the trees so far allow for go down further trees
-(with fewer members around them), until their number meets the target at the depth that was reached.
+(with fewer members around them), until their number meets the target at the depth that was reached. A dense
+group of more than DENSE_LIMIT texts makes about as many rows at each of some log(size / DENSE_LIMIT) / 0.2 levels.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text with fewer words than a
 shingle is one shingle; rows with the same doc_id are one document, linked; a null doc_id stands alone and is kept;
@@ -36,10 +41,14 @@ from abundex.llm.components import components
 
 WIDTH = 512
 QUICK = 64
-LIMIT = 64
-OUTSIDERS = 256
+#: Members that are compared at once, whatever their components.
+BLOCK = 64
+#: Members of the largest node that is compared instead of branching again, and of the largest dense one.
+LIMIT, DENSE_LIMIT = 4096, 16384
+#: Pairs a member that pass the estimate in a node; nodes with more are compared in tiles of full sets.
+DENSE = 8
 #: Branchings that the trees of the scan allow for; members that go deeper get further trees.
-LEVELS = 3
+LEVELS = 1
 #: Ids that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,8 +100,13 @@ def child(node: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.nda
     return _mix(_mix(node + np.uint64(0x632BE59BD9B4E019)) + coordinate.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + value.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def roots(trees: int) -> np.ndarray:
-    return _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def first_level(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of trees first to last - 1 (twice where a second token is taken), and their coordinates: no coordinate
+    comes twice until all have come."""
+    trees = np.arange(first, last)
+    root = _mix((trees + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    second = trees % 4 == 0
+    return np.concatenate((root, root[second])), np.concatenate((2 * trees, 2 * trees[second] + 1)) % WIDTH
 
 
 def trees_for(recall: float, threshold: float, levels: int = LEVELS) -> int:
@@ -111,9 +125,7 @@ def trees_at(recall: float, threshold: float, levels: int) -> int:
 
 def _scan(docs: DataFrame, size: int, trees: int) -> DataFrame:
     """doc_id, n, key (hash of the set; null without shingles), sig, nodes (first-level nodes of all trees)."""
-    start = roots(trees)
-    a, b2, second = chosen(start)
-    root, coordinate = np.concatenate((start, start[second])), np.concatenate((a, b2[second]))
+    root, coordinate = first_level(0, trees)
 
     def run(batches):
         for b in batches:
@@ -137,27 +149,24 @@ def _scan(docs: DataFrame, size: int, trees: int) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n long, key binary, sig binary, nodes array<long>")
 
 
-def _similar(sig: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float, least: float) -> np.ndarray:
-    """Estimates between all rows of two blocks; 0 where sizes or the estimate rule a link out.
+def _estimate(sig: np.ndarray, n: int, other: np.ndarray, m: np.ndarray, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that one signature of a set of n may be linked with, and the estimates (least or more).
 
     Signatures hold the low byte of each token, so one token in 256 agrees by chance. Pairs whose first QUICK tokens
     agree far too seldom (eight deviations) aren't looked at further."""
-    est = np.zeros((len(sig), len(other)), np.float32)
     few = QUICK * (least - 8 * (least * (1 - least) / QUICK) ** 0.5)
-    for i in range(len(sig)):
-        near = np.minimum(n[i], m) >= threshold * np.maximum(n[i], m) - 1e-9
-        near &= np.count_nonzero(other[:, :QUICK] == sig[i, :QUICK], axis=1) >= few
-        j = np.flatnonzero(near)
-        if len(j):
-            est[i, j] = (np.count_nonzero(other[j] == sig[i], axis=1) / WIDTH - 1 / 256) / (1 - 1 / 256)
-    est[est < least] = 0
-    return est
+    j = np.flatnonzero(np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+    j = j[np.count_nonzero(other[j, :QUICK] == sig[:QUICK], axis=1) >= few]
+    est = (np.count_nonzero(other[j] == sig, axis=1) / WIDTH - 1 / 256) / (1 - 1 / 256)
+    return j[est >= least], est[est >= least]
 
 
-def _forest(est: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _forest(sig: np.ndarray, n: np.ndarray, ids: np.ndarray, labels: np.ndarray, threshold: float, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Maximum spanning forest over the labels of the block, and the other pairs between labels."""
-    i, j = np.nonzero(np.triu(est, 1))
-    order = np.argsort(-est[i, j], kind="stable")
+    found = [_estimate(sig[x], n[x], sig[x + 1 :], n[x + 1 :], threshold, least) for x in range(len(sig) - 1)]
+    i = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    j, est = np.concatenate([f[0] for f in found]) + i + 1, np.concatenate([f[1] for f in found])
+    order = np.argsort(-est, kind="stable")
     parent: dict[int, int] = {}
 
     def find(x):
@@ -186,8 +195,8 @@ def _unpack(members: list[dict]):
 
 def _compare_blocks(live: DataFrame, threshold: float, least: float) -> DataFrame:
     """(u, v, later): pairs found in nodes, or in random blocks of large nodes (then only the forest's)."""
-    parts = F.ceil(F.col("cnt") / F.lit(LIMIT))
-    live = live.where((F.col("cnt") <= LIMIT) | (F.pmod("node", F.lit(3)) == 0))  # each member is in several trees' large nodes
+    parts = F.ceil(F.col("cnt") / F.lit(BLOCK))
+    live = live.where((F.col("cnt") <= BLOCK) | (F.pmod("node", F.lit(3)) == 0))  # each member is in several trees' large nodes
     blocks = live.withColumn("block", F.pmod(F.xxhash64("id", "node"), parts)).groupBy("node", "block").agg(F.first("cnt").alias("cnt"), F.collect_list(F.struct("id", "n", "label", "sig")).alias("members"))
 
     def run(batches):
@@ -197,9 +206,9 @@ def _compare_blocks(live: DataFrame, threshold: float, least: float) -> DataFram
                 if len(members) < 2:
                     continue
                 ids, n, labels, sig = _unpack(members)
-                first, rest = _forest(_similar(sig, sig, n, n, threshold, least), ids, labels)
+                first, rest = _forest(sig, n, ids, labels, threshold, least)
                 out += [(*p, False) for p in first]
-                if cnt <= LIMIT:
+                if cnt <= BLOCK:
                     out += [(*p, True) for p in rest]
             yield _pairs(out)
 
@@ -211,44 +220,136 @@ def _pairs(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(later, pa.bool_())], names=["u", "v", "later"])
 
 
-#: Shingles of a block of members, and of a block of outsiders, that meet in one row.
-BLOCK_SHINGLES = 200_000
+PAIR, IS_DENSE, BRANCHES = 0, 1, 2
+
+
+def _compare_nodes(mixed: DataFrame, threshold: float, least: float) -> DataFrame:
+    """(kind, node, u, v): pairs that pass the estimate between the members outside a node's largest component and all
+    others, or one row without a pair for a dense node, or for one that is to branch."""
+    nodes = mixed.groupBy("node").agg(F.collect_list(F.struct("id", "n", "label", "sig", (F.col("label") != F.col("top")).alias("out"))).alias("members"))
+    limit, most = LIMIT, DENSE
+
+    def compared(members: list[dict]) -> tuple[int, list[tuple[int, int]]]:
+        ids, n, labels, sig = _unpack(members)
+        out = np.array([m["out"] for m in members], bool)
+        found, total, at = [], 0, np.flatnonzero(out)
+        if len(ids) > limit:
+            at = np.random.default_rng(len(ids)).permutation(at)[:64]
+        for i in at:
+            j, _ = _estimate(sig[i], n[i], sig, n, threshold, least)
+            j = j[(labels[j] != labels[i]) & (ids[j] != ids[i])]
+            total += len(j)
+            if len(ids) <= limit:
+                if total > most * len(ids):
+                    return IS_DENSE, []
+                found.append((ids[i], ids[j[~out[j] | (j > i)]]))
+        if len(ids) > limit:
+            return (IS_DENSE if total >= 0.1 * len(at) * len(ids) else BRANCHES), []
+        return PAIR, [(max(u, v), min(u, v)) for u, w in found for v in w]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for node, members in zip(b["node"].to_pylist(), b["members"].to_pylist()):
+                kind, found = compared(members)
+                out += [(PAIR, node, *p) for p in found] if kind == PAIR else [(kind, node, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], names=["kind", "node", "u", "v"])
+
+    return nodes.mapInArrow(run, "kind long, node long, u long, v long")
+
+
+#: Shingles, and members, of a tile of a dense node.
+TILE_SHINGLES, TILE_MEMBERS = 400_000, 2048
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all sets of b."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(common):
+        return out
+    sides = []
+    for sets, h in ((a, x), (b, y)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        code = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        hit = np.flatnonzero(common[code] == h)
+        hit = hit[np.argsort(code[hit], kind="stable")]
+        sides.append((len(sets), owner[hit], code[hit]))
+    for lo in range(0, len(common), width):
+        dense = []
+        for size, owner, code in sides:
+            m = np.zeros((size, min(width, len(common) - lo)), np.float32)
+            own = slice(*np.searchsorted(code, (lo, lo + width)))
+            m[owner[own], code[own] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
 
 
-def _blocks(rows: DataFrame, what: str) -> DataFrame:
-    """Members of each node gathered in blocks of about BLOCK_SHINGLES; node_n has the node's shingles."""
-    parts = F.ceil(F.col("node_n") / F.lit(BLOCK_SHINGLES))
-    return rows.groupBy("node", F.pmod(F.xxhash64("id", "node"), parts).alias("block")).agg(F.collect_list(F.struct("id", "n", "label", "sig", "s")).alias(what))
+def _uniting(a: list[dict], b: list[dict], per_cent: int) -> list[tuple[int, int]]:
+    """Links (u, v) between two tiles, as many as unite their components."""
+    sets = [[np.frombuffer(m["s"], np.uint64) for m in tile] for tile in (a, b)]
+    (ids, n, labels), (ids2, n2, labels2) = ([np.array([m[k] for m in tile], np.int64) for k in ("id", "n", "label")] for tile in (a, b))
+    same, at = intersections(*sets), []
+    for lo in range(0, len(ids), 256):
+        s = same[lo : lo + 256].astype(np.int64)
+        link = (s > 0) & (100 * s >= per_cent * (n[lo : lo + 256, None] + n2 - s)) & (labels[lo : lo + 256, None] != labels2)
+        at.append(np.stack(np.nonzero(link)) + [[lo], [0]])
+    i, j = np.concatenate(at, 1)
+    x, y = np.minimum(labels[i], labels2[j]), np.maximum(labels[i], labels2[j])
+    _, first = np.unique(np.stack((x, y), 1), axis=0, return_index=True)
+    parent: dict[int, int] = {}
+
+    def find(z):
+        while parent.get(z, z) != z:
+            z = parent[z]
+        return z
+
+    out = []
+    for k in first.tolist():
+        p, q = find(int(x[k])), find(int(y[k]))
+        if p != q:
+            parent[p] = q
+            u, v = int(ids[i[k]]), int(ids2[j[k]])
+            out.append((max(u, v), min(u, v)))
+    return out
 
 
-def _confirm_outsiders(few: DataFrame, docs: DataFrame, size: int, threshold: float, least: float) -> DataFrame:
-    """Links (u, v) between the members outside a node's largest component and all of its members.
+def _dense_links(dense: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (u, v) between the members outside a node's largest component and all of its members, exactly.
 
-    Pairs that pass the estimate are confirmed where they meet, on the full sets, so that only links leave the task: a
-    dense group has many pairs just below the threshold."""
-    ids = few.select(F.col("id").alias("doc_id")).distinct()
-    rows = few.join(shingle_sets(ids, docs, size), "id")
-    sums = rows.groupBy("node").agg(F.sum("n").alias("node_n"))
-    out_sums = rows.where("label <> top").groupBy("node").agg(F.sum("n").alias("node_n"))
-    members = _blocks(rows.join(sums, "node"), "members")
-    outside = _blocks(rows.where("label <> top").join(out_sums, "node"), "outside").select("node", "outside")
+    Each pair of a tile of outsiders and a tile of members is a row of its own, so a large node is spread over tasks."""
     per_cent = round(threshold * 100)
+    sets = shingle_sets(dense.select(F.col("id").alias("doc_id")).distinct(), docs, size)
+    out = F.col("label") != F.col("top")
+
+    def tiles(n, members):
+        return F.ceil(F.greatest(n / TILE_SHINGLES, members / TILE_MEMBERS, F.lit(1))).cast("int")
+
+    parts = dense.groupBy("node").agg(tiles(F.sum("n"), F.count("*")).alias("a"), tiles(F.sum(F.when(out, F.col("n")).otherwise(0)), F.sum(out.cast("int"))).alias("b"))
+    rows = keep(dense.select("node", "id", "n", "label", "top").join(parts, "node").join(sets, "id"), "dense")
+    forget(sets)
+    tile = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = ["node", F.struct("id", "n", "label", "s").alias("m")]
+    members = rows.select(*own, tile(1, F.col("a")).alias("i"), every(F.col("b")).alias("j"), F.lit(False).alias("out"))
+    outside = rows.where(out).select(*own, every(F.col("a")).alias("i"), tile(2, F.col("b")).alias("j"), F.lit(True).alias("out"))
+    both = members.unionByName(outside).groupBy("node", "i", "j").agg(F.collect_list(F.when(F.col("out"), F.col("m"))).alias("x"), F.collect_list(F.when(~F.col("out"), F.col("m"))).alias("y"))
 
     def run(batches):
         for b in batches:
-            out: list[tuple[int, int]] = []
+            found = []
             for i in range(b.num_rows):
-                ids, n, labels, sig = _unpack(own := b["outside"][i].as_py())
-                ids2, n2, labels2, sig2 = _unpack(others := b["members"][i].as_py())
-                est = _similar(sig, sig2, n, n2, threshold, least)
-                est[labels[:, None] == labels2[None, :]] = 0
-                for x, y in zip(*np.nonzero(est)):
-                    if linked(own[x]["s"], others[y]["s"], per_cent):
-                        out.append((max(ids[x], ids2[y]), min(ids[x], ids2[y])))
-            u, v = zip(*out) if out else ((), ())
+                x, y = b["x"][i].as_py(), b["y"][i].as_py()
+                if x and y:
+                    found += _uniting(x, y, per_cent)
+            u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return members.join(outside, "node").select("outside", "members").mapInArrow(run, "u long, v long").distinct()
+    links = keep(both.select("x", "y").mapInArrow(run, "u long, v long").distinct(), "dense-links")
+    forget(rows)
+    return links
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -326,9 +427,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str = "id", nam
 
 def _further(reps: DataFrame, first: int, last: int) -> DataFrame:
     """(node, id, n, sig) of the representatives in the first-level nodes of trees first to last - 1."""
-    start = roots(last)[first:]
-    a, b2, second = chosen(start)
-    root, coordinate = np.concatenate((start, start[second])), np.concatenate((a, b2[second]))
+    root, coordinate = first_level(first, last)
 
     def run(batches):
         for b in batches:
@@ -344,24 +443,26 @@ def _further(reps: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def _descend(large: DataFrame, rows: int, docs: DataFrame, size: int, threshold: float, least: float) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Links of outsiders, pairs to be confirmed and (id, depth) of branching members, of large nodes of level 1."""
+    """Links of dense nodes, pairs to be confirmed and (id, depth) of branching members, of large nodes of level 1."""
     edges, pending, depths, level = [], [], [], 1
     while rows:  # similar pairs that stay unlinked get fewer with each level, as 1.25 * 0.8 is no more than 1
         per = large.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-        tops = keep(per.select("node", F.col("top.label").alias("top"), (F.col("all") - F.col("top.c")).alias("outside")).where("outside > 0"), "tops", rows)
+        tops = keep(per.where(F.col("all") > F.col("top.c")).select("node", F.col("top.label").alias("top")), "tops", rows)
         mixed = keep(large.join(tops, "node"), "mixed", rows)
         forget(large, tops)
-        few = mixed.where(F.col("outside") <= OUTSIDERS)
-        if not few.isEmpty():
-            edges.append(keep(_confirm_outsiders(few, docs, size, threshold, least), "outsiders", rows))
-        branching = mixed.where(F.col("outside") > OUTSIDERS)
+        compared = keep(_compare_nodes(mixed.where(F.col("cnt") <= DENSE_LIMIT), threshold, least), "compared", rows)
+        pending.append(compared.where(F.col("kind") == PAIR).select("u", "v"))
+        dense, thin = (compared.where(F.col("kind") == k).select("node") for k in (IS_DENSE, BRANCHES))
+        if not dense.isEmpty():
+            edges.append(_dense_links(mixed.join(dense, "node"), docs, size, threshold))
+        branching = mixed.where(F.col("cnt") > DENSE_LIMIT).unionByName(mixed.where(F.col("cnt") > LIMIT).join(thin, "node"))
         live = keep(_live(_branch(branching)), "live", 2 * rows)
         level += 1
         if level > LEVELS:
             depths.append(keep(branching.select("id").distinct().withColumn("depth", F.lit(level)), "depths", rows))
         forget(mixed)
-        pending.append(keep(_compare_blocks(live.where(F.col("cnt") <= LIMIT), threshold, least), "found", rows).select("u", "v"))
-        large = keep(live.where(F.col("cnt") > LIMIT), "large", rows)
+        pending.append(keep(_compare_blocks(live.where(F.col("cnt") <= BLOCK), threshold, least), "found", rows).select("u", "v"))
+        large = keep(live.where(F.col("cnt") > BLOCK), "large", rows)
         forget(live)
         rows = large.count()
     return edges, pending, depths
@@ -383,8 +484,8 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, recall:
     found = keep(_compare_blocks(_labelled(live, None), threshold, least), "found")
     edges = confirm(found.where(~F.col("later")), docs, size, threshold).unionByName(same)
     labels = None if edges.isEmpty() else keep(components(edges), "labels")
-    rows = live.where(F.col("cnt") > LIMIT).count()
-    large = keep(_labelled(live.where(F.col("cnt") > LIMIT), labels), "large", rows)
+    rows = live.where(F.col("cnt") > BLOCK).count()
+    large = keep(_labelled(live.where(F.col("cnt") > BLOCK), labels), "large", rows)
     forget(live)
     outside, pending, depths = _descend(large, rows, docs, size, threshold, least)
     pending.append(found.where("later").select("u", "v"))
@@ -400,8 +501,8 @@ def links(reps: DataFrame, docs: DataFrame, size: int, threshold: float, recall:
         deep = keep(_union(depths).where(F.col("depth") >= level).groupBy("id").agg(F.max("depth").alias("depth")), "deep")
         last = min(done + step, need)
         live = keep(_live(_labelled(_further(reps.join(deep, "id", "left_semi"), done, last), labels)), "live")
-        large = keep(live.where(F.col("cnt") > LIMIT), "large")
-        found = keep(_compare_blocks(live.where(F.col("cnt") <= LIMIT), threshold, least), "found").select("u", "v")
+        large = keep(live.where(F.col("cnt") > BLOCK), "large")
+        found = keep(_compare_blocks(live.where(F.col("cnt") <= BLOCK), threshold, least), "found").select("u", "v")
         forget(live)
         outside, pending, more = _descend(large, large.count(), docs, size, threshold, least)
         pending.append(found)

@@ -368,10 +368,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("limit,outsiders", [(64, 256), (4, 2), (3, 1000)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, limit, outsiders):
+@pytest.mark.parametrize("block,limit,dense", [(64, 4096, 8), (4, 20, 8), (3, 1000, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, limit, dense):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "LIMIT", limit)
-    monkeypatch.setattr(neardup, "OUTSIDERS", outsiders)
+    monkeypatch.setattr(neardup, "DENSE_LIMIT", 2 * limit)
+    monkeypatch.setattr(neardup, "DENSE", dense)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(1))
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 4).collect()), key=str)
@@ -402,14 +404,91 @@ def test_deep_nodes_get_further_trees(spark, monkeypatch):
     rng = random.Random(3)
     shared = [f"h{i}" for i in range(60)]  # pairwise similarity of about 0.5, unlinked
     rows = [(i, " ".join(shared + [f"r{rng.randrange(10**9)}" for _ in range(30)])) for i in range(60)]
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "LIMIT", 8)
-    monkeypatch.setattr(neardup, "OUTSIDERS", 8)
+    monkeypatch.setattr(neardup, "DENSE_LIMIT", 8)
     ran = []
     plain = neardup._further
     monkeypatch.setattr(neardup, "_further", lambda reps, first, last: ran.append((first, last)) or plain(reps, first, last))
     got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == {(d, c) for d, _, c in near(rows, 2)}
-    assert ran and ran[0][0] == 13 and all(a[1] == b[0] for a, b in zip(ran, ran[1:]))
+    assert ran and ran[0][0] == neardup.trees_for(0.99999, 0.8) and all(a[1] == b[0] for a, b in zip(ran, ran[1:]))
+
+
+def near_by_matrix(texts, size, per_cent=80):
+    """Least index linked with each text, from all pairs of an incidence matrix of shingles."""
+    index = {}
+    sets = []
+    for t in texts:
+        w = wordlm_tokens(t)[:-1]
+        sets.append(sorted({index.setdefault(tuple(w[j : j + size]), len(index)) for j in range(len(w) - size + 1)}))
+    often = Counter(x for s in sets for x in s)
+    column = {x: i for i, x in enumerate(x for x, c in often.items() if c > 1)}
+    m = np.zeros((len(texts), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[x] for x in s if x in column]] = 1
+    n = np.array([len(s) for s in sets])
+    label = np.arange(len(texts))
+    links = []
+    for lo in range(0, len(texts), 500):
+        same = (m[lo : lo + 500] @ m.T).astype(int)
+        i, j = np.nonzero((same > 0) & (100 * same >= per_cent * (n[lo : lo + 500, None] + n - same)))
+        links.append(np.stack((i + lo, j), 1)[j > i + lo])
+    links = np.concatenate(links)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, links[:, 0], label[links[:, 1]])
+        np.minimum.at(new, links[:, 1], label[links[:, 0]])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label, len(links)
+        label = new
+
+
+def copies(rng, n, words, edits, step=1):
+    """n copies of one text, each with some of the words at multiples of step replaced by words of its own."""
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for k in rng.sample(range(0, words, step), edits(i)):
+            t[k] = f"x{i}.{k}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("words,edits,step,linked", [(200, 3, 1, True), (100, 4, 30, False)])
+def test_a_dense_group_of_thousands(spark, words, edits, step, linked):
+    rng = random.Random(11)
+    texts = copies(rng, 5000, words, (lambda i: 4 if i % 5 else 3) if linked else (lambda i: edits), step)
+    label, n = near_by_matrix(texts, 4)
+    assert (n > 0) == linked
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = neardup.near_duplicates(df, 4).toPandas().sort_values("doc_id")
+    assert (got.component_id.to_numpy() == label).all()
+
+
+def test_pairs_meet_below_level_three(spark, monkeypatch):
+    """All linked pairs of a group whose nodes branch many times: the trees follow the depth."""
+    rng = random.Random(12)
+    texts = copies(rng, 200, 100, lambda i: 2 + i % 2)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "LIMIT", 60)
+    monkeypatch.setattr(neardup, "DENSE_LIMIT", 60)
+    depths = []
+    plain = neardup.trees_at
+    monkeypatch.setattr(neardup, "trees_at", lambda recall, threshold, levels: depths.append(levels) or plain(recall, threshold, levels))
+    label, _ = near_by_matrix(texts, 4)
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).toPandas().sort_values("doc_id")
+    assert (got.component_id.to_numpy() == label).all() and max(depths) > 3
+
+
+def test_intersections():
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(0, 300))).astype(np.uint64) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+    for width in (7, 2048):
+        assert (neardup.intersections(sets[:15], sets[15:], width) == want).all()
 
 
 def test_an_id_with_several_texts_unites_them(spark):

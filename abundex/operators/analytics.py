@@ -107,16 +107,19 @@ def overlaps(kmers: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 def rle(values: Column, longest: int = 254, most: int | None = None) -> Column:
     """Runs (n, v) of an array, none longer than `longest`; values are capped at `most`."""
-    start = F.array().cast("array<struct<n:int,v:int>>")
-    v = lambda x: (F.least(x, F.lit(most)) if most else x).cast("int")
-
-    def step(a, x):
-        last = F.try_element_at(a, F.lit(-1))
-        more = (F.size(a) > 0) & (last["v"] == v(x)) & (last["n"] < longest)
-        grown = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct((last["n"] + 1).alias("n"), last["v"].alias("v"))))
-        return F.when(more, grown).otherwise(F.concat(a, F.array(F.struct(F.lit(1).alias("n"), v(x).alias("v")))))
-
-    return F.aggregate(values, start, step)
+    kind = "array<struct<n:int,v:int>>"
+
+    def runs(a: Column) -> Column:
+        """From the places where the value changes, so that the work is linear."""
+        capped = (lambda i: F.least(a[i], F.lit(most))) if most else (lambda i: a[i])
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~capped(i).eqNullSafe(capped(i - 1)))
+        whole = F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(a)), F.array(F.size(a))), lambda s, e: F.struct(s.alias("s"), (e - s).alias("n")))
+        cut = lambda r: F.transform(F.sequence(F.lit(0), F.floor((r["n"] - 1) / longest).cast("int")), lambda j: F.struct(F.least(F.lit(longest), r["n"] - j * longest).cast("int").alias("n"), capped(r["s"]).cast("int").alias("v")))
+        return F.flatten(F.transform(whole, cut))
+
+    # the array is bound to a variable, so that it is made once
+    once = F.transform(F.array(values), lambda a: F.when(F.size(a) > 0, runs(a)).otherwise(F.array().cast(kind)))
+    return F.when(values.isNotNull(), once[0])
 
 
 def unrle(pairs: Column) -> Column:

@@ -34,9 +34,20 @@ def hits(kmers: DataFrame, matrix: DataFrame) -> DataFrame:
     return kmers.join(found, "kmer").select("query_ord", "dataset_id", "pos", "count")
 
 
-def index_hits(kmers: DataFrame, kmer_class: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same from an index: k-mer -> class -> counts, classes read once for each class that is wanted."""
+def bucket(kmer: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(kmer), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def index_hits(kmers: DataFrame, kmer_class: DataFrame, classes: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The same from an index: k-mer -> class -> counts, classes read once for each class that is wanted.
+
+    buckets: kmer_class is partitioned by that many, and only those of the query's k-mers are read; their numbers (at most
+    `buckets` of them) are gathered for that."""
     wanted = kmers.select("kmer").distinct()
+    if buckets and buckets > 1:
+        some = [r["bucket"] for r in wanted.select(bucket("kmer", buckets)).distinct().collect()]
+        if len(some) < buckets:
+            kmer_class = kmer_class.where(F.col("bucket").isin(some))
     ranked = kmer_class.join(wanted, "kmer", "left_semi")
     vectors = classes.join(ranked.select("class_id").distinct(), "class_id", "left_semi")
     return kmers.join(ranked, "kmer").join(vectors, "class_id").select("query_ord", "pos", F.explode("counts").alias("x")).select("query_ord", F.col("x.d").alias("dataset_id"), "pos", F.col("x.c").alias("count"))

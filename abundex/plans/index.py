@@ -1,7 +1,8 @@
 """The index: build, save, load and query.
 
-An index folder holds Parquet tables: kmer_class(kmer, class_id), in buckets of a k-mer hash, classes(class_id, counts),
-datasets(dataset_id, name, path, total_kmers) and info (one row).
+An index folder holds Parquet tables: kmer_class(kmer, class_id), partitioned by bucket, a hash of the k-mer, and sorted
+by k-mer, classes(class_id, counts), datasets(dataset_id, name, path, total_kmers) and info (one row). A lookup reads the
+buckets of the query's k-mers only.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.functions.kmers import acgt_only, decode
+from abundex.functions.kmers import MAX_CODE_K, acgt_only, decode
 from abundex.operators import lookup
 from abundex.operators import matrix as m
 from abundex.sources import fasta
 
 
+#: K-mers of a bucket, and the most buckets.
+BUCKET_KMERS, MAX_BUCKETS = 250_000, 4096
+
+
 @dataclass
 class Index:
-    """An opened index."""
+    """An opened index; buckets: those of kmer_class, where it is a saved one."""
 
     kmer_class: DataFrame
     classes: DataFrame
@@ -27,6 +32,7 @@ class Index:
     k: int
     mode: str
     vectors: DataFrame | None = None
+    buckets: int | None = None
 
     def info(self) -> DataFrame:
         """k, mode, n_kmers, n_classes, n_datasets."""
@@ -48,7 +54,7 @@ class Index:
         """The results of queries(query_ord, header, seq); see lookup.results()."""
         queries = queries.where(F.length("seq") >= self.k)
         kmers = lookup.query_kmers(queries, self.k, code=self.k <= 31)
-        found = lookup.index_hits(kmers, self.kmer_class, self.classes)
+        found = lookup.index_hits(kmers, self.kmer_class, self.classes, self.buckets)
         return lookup.results(queries, self.datasets, found, self.k, format, threshold, self.mode)
 
     def query_file(self, path: str, format: str = "raw", threshold: int = 40) -> DataFrame:
@@ -56,7 +62,7 @@ class Index:
 
     def save(self, path: str) -> Index:
         """Write the tables and open them. The matrix is computed once, into a staging table of vectors; classes and
-        kmer_class are read off it. kmer_class is sorted by k-mer within its files, which the vectors' hash dealt out.
+        kmer_class are read off it.
 
         Should two classes share an id, another seed is taken."""
         spark = self.kmer_class.sparkSession
@@ -68,10 +74,12 @@ class Index:
             m.classes(vectors, seed).select("class_id", "counts").write.mode("overwrite").parquet(f"{path}/classes")
             if not m.collide(spark.read.parquet(f"{path}/classes")):
                 break
-        m.with_class(vectors, seed).select("kmer", "class_id").sortWithinPartitions("kmer").write.parquet(f"{path}/kmer_class")
+        buckets = min(MAX_BUCKETS, vectors.count() // BUCKET_KMERS + 1)
+        ranked = m.with_class(vectors, seed).select("kmer", "class_id", lookup.bucket("kmer", buckets))
+        ranked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kmer").write.partitionBy("bucket").parquet(f"{path}/kmer_class")
         self.datasets.write.parquet(f"{path}/datasets")
-        out = load_tables(spark, path, self.k, self.mode)
-        out.info().write.parquet(f"{path}/info")
+        out = load_tables(spark, path, self.k, self.mode, buckets)
+        out.info().withColumn("n_buckets", F.lit(buckets)).write.parquet(f"{path}/info")
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         return out
@@ -86,14 +94,16 @@ class Index:
         return rows.select(seq.alias("seq"), "counts").select(m.dense_tsv("seq", "counts", n).alias("value"))
 
 
-def load_tables(spark: SparkSession, path: str, k: int, mode: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/kmer_class"), spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/datasets"), k, mode)
+def load_tables(spark: SparkSession, path: str, k: int, mode: str, buckets: int | None = None) -> Index:
+    kind = "bigint" if k <= MAX_CODE_K else "string"
+    ranked = spark.read.schema(f"kmer {kind}, class_id bigint, bucket int").parquet(f"{path}/kmer_class") if buckets else spark.read.parquet(f"{path}/kmer_class")
+    return Index(ranked, spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/datasets"), k, mode, buckets=buckets)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """Open a saved index; k and mode come from it."""
     info = spark.read.parquet(f"{path}/info").first()
-    return load_tables(spark, path, info["k"], info["mode"])
+    return load_tables(spark, path, info["k"], info["mode"], info.asDict().get("n_buckets"))
 
 
 def from_matrix(cells: DataFrame, datasets: DataFrame, k: int, mode: str) -> Index:

@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +122,23 @@ def index_query_sum(spark, d):
     return out.select(F.col("query_ord").alias("item_id"), F.col("name").alias("source"), "n", "n_found", "pct", "value")
 
 
+def saved_index_query_sum(spark, d):
+    """The same through an index that is saved, opened again and read by buckets."""
+    t = Tables(spark, d)
+    folder = f"{scratch(spark)}/abundex-index-{uuid.uuid4().hex}"
+    _index(spark, d).save(folder)
+    out = index.load_index(spark, folder).query(t.queries(), "sum", 40)
+    return out.select(F.col("query_ord").alias("item_id"), F.col("name").alias("source"), "n", "n_found", "pct", "value")
+
+
+def scratch(spark) -> str:
+    """The folder that driver and executors share; only a local master may leave spark.checkpoint.dir unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp()).rstrip("/")
+
+
 def dense_vectors(spark, d):
     """Monotig export lines of the queries' k-mers: the k-mer, an empty field, a count for every dataset."""
     t = Tables(spark, d)
@@ -317,7 +337,7 @@ def rle_vectors(spark, d):
 
 
 _QUERIES = [
-    kmer_extract, kmer_codes, kmer_canonical_count, matrix_max, matrix_by_lang, matrix_presence, dataset_totals, read_kmer_total, eq_class_sizes, index_info, index_query_sum,
+    kmer_extract, kmer_codes, kmer_canonical_count, matrix_max, matrix_by_lang, matrix_presence, dataset_totals, read_kmer_total, eq_class_sizes, index_info, index_query_sum, saved_index_query_sum,
     dense_vectors, quantized_hist, log_hist, seq_filter_short, seq_filter_rejected, header_trim, query_hits_left, query_semi, query_anti, query_sum, query_average, query_normalize,
     query_presence, query_raw_string, query_threshold_78, query_coverage, query_raw_runs, query_wide, cohort_max, harmonic_mean, corr_pearson, corr_spearman, superkmers,
     minimizer_stats, shared_private_kmers, private_kmers, kmer_set_ops, reads_min2, kmer_overlaps, dataset_name_parse, km_header_parse, rle_vectors,
@@ -368,6 +388,7 @@ def oracle_sql() -> dict:
         "eq_class_sizes": f"with {_MAT}, v as (select kmer, string_agg(source || ':' || c, ',' order by source) counts from mat group by kmer) select counts, count(*) n_kmers from v group by counts",
         "index_info": f"with {_MAT}, v as (select kmer, string_agg(source || ':' || c, ',' order by source) counts from mat group by kmer) select count(*) n_kmers, count(distinct counts) n_classes, (select count(distinct source) from documents) n_datasets from v",
         "index_query_sum": _result("total::varchar"),
+        "saved_index_query_sum": _result("total::varchar"),
         "dense_vectors": f"with {_ALL}, g as (select distinct kmer, dataset_id, c from grid where kmer in (select kmer from mat)) select kmer || chr(9) || chr(9) || string_agg(c::varchar, chr(9) order by dataset_id) line from g group by kmer",
         "quantized_hist": f"with {_MAT}, b as (select {_QUANT} bin from (select c * 1000 v from mat)) select bin::int bin, ({_MIDDLE})::int middle, count(*) n from b group by bin",
         "log_hist": f"with {_MAT} select length(bin(c::bigint))::int bin, count(*) n from (select c from mat) group by 1",

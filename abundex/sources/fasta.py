@@ -99,20 +99,21 @@ def rejected_queries(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 def read_reads(spark: SparkSession, datasets: DataFrame) -> DataFrame:
     """reads(dataset_id, seq) of FASTA or FASTQ files (by name), mates included; other characters cut reads later."""
-    parts = []
-    for r in datasets.select("dataset_id", "path", "mate").collect():
-        for f in filter(None, (r["path"], r["mate"])):
-            if any(x in f.lower() for x in (".fastq", ".fq")):
-                # a quality line may begin with the mark too; then its record ends in the plus line, and the rest has none
-                lines = F.split("body", "\n")
-                one = _records(spark, f, "@").where(F.size(lines) >= 2).where(lines[1].startswith("+")).select(F.upper(F.trim(lines[0])).alias("seq"))
-            else:
-                one = _records(spark, f, ">").select(F.upper(F.regexp_replace("body", r"\s", "")).alias("seq"))
-            parts.append(one.withColumn("dataset_id", F.lit(r["dataset_id"])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("dataset_id", "seq")
+    listed = [(r["dataset_id"], f, any(x in f.lower() for x in (".fastq", ".fq"))) for r in datasets.select("dataset_id", "path", "mate").collect() for f in (r["path"], r["mate"]) if f]
+    out = None
+    # one scan of all files of a kind, as in read_unitigs()
+    for fastq in sorted({q for *_, q in listed}):
+        own = [(i, _plain(spark, f)) for i, f, q in listed if q == fastq]
+        known = spark.createDataFrame(own, "dataset_id int, _file string")
+        rows = _records(spark, sorted({f for _, f in own}), "@" if fastq else ">").withColumn("_file", _plain_column(F.col("file"))).join(F.broadcast(known), "_file")
+        if fastq:
+            # a quality line may begin with the mark too; then its record ends in the plus line, and the rest has none
+            lines = F.split("body", "\n")
+            one = rows.where(F.size(lines) >= 2).where(lines[1].startswith("+")).select("dataset_id", F.upper(F.trim(lines[0])).alias("seq"))
+        else:
+            one = rows.select("dataset_id", F.upper(F.regexp_replace("body", r"\s", "")).alias("seq"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def interleave_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

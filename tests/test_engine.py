@@ -291,3 +291,88 @@ def test_analytics(spark):
     assert [r["id"] for r in an.sample_rows(spark.range(100), 5, "id").collect()] == [r["id"] for r in an.sample_rows(spark.range(100).repartition(3), 5, "id").collect()]
     u = fasta.unitig_reads(spark.createDataFrame([("r1", "1;-2;3;"), ("r2", "2;2;")], "read string, value string"))
     assert {r["unitig"]: r["reads"] for r in u.collect()} == {1: ["r1"], 2: ["r1", "r2"], 3: ["r1"]}
+
+
+def test_lookup_reads_the_buckets_it_needs(spark, files, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "BUCKET_KMERS", 2)
+    ix.build_index(spark, str(files / "fof.txt"), K).save(str(tmp_path / "ix"))
+    cut = ix.load_index(spark, str(tmp_path / "ix"))
+    assert cut.buckets > 3 and cut.info().collect() == index.info().collect()
+    q = spark.createDataFrame([(0, "x", "ACGTACC")], "query_ord long, header string, seq string")
+    out = cut.query(q, "sum", 0)
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    line = next(x for x in plan.splitlines() if "PartitionFilters" in x and "bucket" in x)
+    assert " IN (" in line or "=" in line.split("PartitionFilters")[1]
+    key = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert key(out) == key(index.query(q, "sum", 0))
+    assert key(cut.query_file(str(files / "q.fa"), "raw", 0)) == key(index.query_file(str(files / "q.fa"), "raw", 0))
+    assert key(cut.matrix()) == key(index.matrix())
+
+
+def test_index_in_memory(spark, files, index):
+    held = ix.load_index(spark, str(files / "index")).cache()
+    assert held.kmer_class.storageLevel.useMemory and held.classes.storageLevel.useMemory
+    q = lambda i: sorted(tuple(r) for r in i.query_file(str(files / "q.fa"), "raw", 40).collect())
+    assert q(held) == q(index)
+    held.kmer_class.unpersist()
+    held.classes.unpersist()
+
+
+def test_rebuilt_catalog(spark, files, index):
+    got = ix.rebuild_catalog(spark, str(files / "fof.txt"), K).collect()
+    _, totals = model(U1, U2)
+    assert [(r["name"], r["total_kmers"]) for r in sorted(got, key=lambda r: r["dataset_id"])] == [("one", totals[0]), ("two", totals[1])]
+
+
+def test_saturation(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">0 km:f:70000.0\nACGTACC\n>1 km:f:65535.0\nGGGGGG\n>2 km:f:3.0\nTTAAC\n")
+    (tmp_path / "fof").write_text(f"{tmp_path}/a.fa\n")
+    counts = lambda **more: sorted({r["count"] for r in ix.build_index(spark, str(tmp_path / "fof"), K, **more).matrix().collect()})
+    assert counts() == [3, 65535, 70000] and counts(saturate=65535) == [3, 65535]
+
+
+def test_interleaved_pairs(spark, tmp_path):
+    (tmp_path / "l.fa").write_text(">a/1\nacg\n>b/1\nGG\n")
+    (tmp_path / "r.fa").write_text(">a/2\nttt\n>b/2\nCC\n")
+    one = lambda f: fasta._records(spark, str(tmp_path / f), ">").select("at", "header", F.regexp_replace("body", r"\s", "").alias("seq"))
+    got = [r["value"] for r in fasta.interleave_pairs(one("l.fa"), one("r.fa")).collect()]
+    assert got == [">a/1\nACG", ">a/2\nTTT", ">b/1\nGG", ">b/2\nCC"]
+
+
+def test_sample_lists(spark, tmp_path):
+    (tmp_path / "s").write_text("SRR1\n\n SRR2 \n")
+    assert sorted((r["sample"], r["label"]) for r in fasta.read_samples(spark, str(tmp_path / "s"), "x").collect()) == [("SRR1", "x"), ("SRR2", "x")]
+
+
+def test_run_tag():
+    import re
+
+    assert re.fullmatch(r"\d{8}_\d{6}_\d{6}", sinks.run_tag()) and sinks.query_base("a/b.c.fa") == "b"
+
+
+def test_interactive(spark, files, tmp_path, capsys, monkeypatch):
+    import io
+
+    from abundex import cli
+
+    (tmp_path / "q.fa").write_text(QUERY)
+    monkeypatch.setattr("sys.stdin", io.StringIO(f"{tmp_path}/q.fa\n\n{tmp_path}/q.fa 0\n\n\n{tmp_path}/never.fa\n"))
+    assert cli.main(["interactive", "-l", str(files / "index"), "-F", "s", "-P", "40", "-o", str(tmp_path)]) == 0
+    first, second = capsys.readouterr().out.split()
+    assert open(first).read().splitlines()[1:] == expected("sum", 40) and open(second).read().splitlines()[1:] == expected("sum", 0)
+
+
+def test_mixed_reads_are_one_scan_a_kind(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("@a\nACGTAC\n+\nIIIIII\n")
+    (tmp_path / "b.fa").write_text(">b\nGGGT\nAC\n")
+    (tmp_path / "c.fasta").write_text(">c\nTTTT\n")
+    (tmp_path / "fof").write_text("".join(f"{tmp_path}/{x}\n" for x in ("a.fastq", "b.fa", "c.fasta")))
+    out = fasta.read_reads(spark, fasta.read_fof(spark, str(tmp_path / "fof")))
+    assert sorted((r["dataset_id"], r["seq"]) for r in out.collect()) == [(0, "ACGTAC"), (1, "GGGTAC"), (2, "TTTT")]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan text") == 2
+
+
+def test_runs_of_long_arrays(spark):
+    df = spark.createDataFrame([([7] * 5000 + [1] * 3,), ([],), (None,), ([9],)], "c array<int>")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in df.select(an.rle(F.col("c"), 2000, 5)).collect()]
+    assert got == [[(2000, 5), (2000, 5), (1000, 5), (3, 1)], [], None, [(1, 5)]]

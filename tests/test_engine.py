@@ -350,7 +350,7 @@ def test_run_tag():
     assert re.fullmatch(r"\d{8}_\d{6}_\d{6}", sinks.run_tag()) and sinks.query_base("a/b.c.fa") == "b"
 
 
-def test_interactive(spark, files, tmp_path, capsys, monkeypatch):
+def test_interactive(spark, files, index, tmp_path, capsys, monkeypatch):
     import io
 
     from abundex import cli

@@ -1,6 +1,6 @@
 """Line dedup: Bloom filters for once-seen and twice-seen line hashes, exact confirmation of the suspects.
 
-Three scans of the text, and the only shuffle that grows with the repeats is that of the suspects:
+Three scans of the text; what is shuffled are packed slots and the suspects:
 
 1. every task hashes its eligible lines to slots of two Bloom arrays (two hash functions, one array each) and sends,
    per 64 Ki-slot slice, the 16-bit slots that it saw once and those that it saw twice; the slices are merged with
@@ -8,7 +8,8 @@ Three scans of the text, and the only shuffle that grows with the repeats is tha
 2. the twice-seen filter (bounded by max_log2_bits) is broadcast; lines whose slots are both twice-seen are suspects
    and are shuffled as (line, doc_id) for exact counts of distinct documents; false positives of the filter fall out
    here, and the filter has no false negatives;
-3. the documents that lose lines are rewritten.
+3. texts are rewritten in place by the confirmed lines and their holders, which are broadcast while their size, which is
+   checked, allows (max_broadcast bytes); beyond it each document gets the lines that it loses by a join.
 
 A full filter at extreme sizes only lets more lines through to the exact step. Counts of a hot line are pre-aggregated
 per (line, doc_id), so no task gathers one line's documents.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -138,15 +140,28 @@ def suspects(docs: DataFrame, min_chars: int, log2_bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "key string, doc_id long")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, max_log2_bits: int) -> DataFrame:
-    """(doc_id, drop: keys that the document loses), confirmed exactly on the lines themselves."""
+def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, max_log2_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Suspects (key, doc_id), and the confirmed lines among them (key, holder), exact on the lines themselves."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     log2_bits = max(SLICE_BITS, min(max_log2_bits, int(8 * chars / 100).bit_length()))
     found = keep(suspects(docs, min_chars, log2_bits).groupBy("key", "doc_id").agg(F.lit(1).alias("one")).drop("one"), "suspects")
     confirmed = found.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs).select("key", "holder")
-    confirmed = keep(confirmed, "repeats")  # so that both sides of the join come straight from storage and a hot line can be split
-    lost = found.join(confirmed, "key").where(F.col("doc_id") != F.col("holder"))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    return found, keep(confirmed, "repeats")  # so that both sides of a join come straight from storage and a hot line can be split
+
+
+def _rewrite_by(holders) -> Callable:
+    """Text and lines lost, from the broadcast lines and their holders."""
+
+    def rewrite(text: pd.Series, doc_id: pd.Series) -> pd.DataFrame:
+        known, texts, dropped = holders.value, [], []
+        for t, i in zip(text, doc_id):
+            lines = t.split("\n") if t else []
+            left = [x for x in lines if known.get(line_key(x), i) == i] if i is not None else lines
+            texts.append(None if len(left) == len(lines) else "\n".join(left))
+            dropped.append(len(lines) - len(left))
+        return pd.DataFrame({"text": texts, "n_dropped": np.array(dropped, np.int64)})
+
+    return rewrite
 
 
 def _rewrite(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
@@ -163,16 +178,25 @@ def _rewrite(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "n_dropped": np.array(dropped, np.int64)})
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_log2_bits: int = 28) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_log2_bits: int = 28, max_broadcast: int = 32 << 20) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines (before) and n_dropped (both long) added.
 
     Lines of at least min_chars code points that at least min_docs documents hold stay only in the largest doc_id.
-    max_log2_bits bounds each Bloom array (2**28 bits: 32 MB)."""
+    max_log2_bits bounds each Bloom array (2**28 bits: 32 MB), max_broadcast the bytes of the broadcast lines."""
     docs = small_batches(rename_clashes(docs, ["n_lines", "n_dropped", "drop", "_new"]))
-    drops = repeated_lines(docs, min_chars, min_docs, max_log2_bits).select(F.col("doc_id").alias("_id"), "drop")
+    found, confirmed = repeated_lines(docs, min_chars, min_docs, max_log2_bits)
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    joined = joined.withColumn("_new", F.pandas_udf(_rewrite, "struct<text:string,n_dropped:long>")(F.when(F.col("drop").isNotNull(), F.col("text")), F.col("drop")))
+    new = "struct<text:string,n_dropped:long>"
+    if (confirmed.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0) <= max_broadcast:
+        rows = confirmed.toArrow()
+        holders = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), map(str, rows["holder"].to_pylist()))))
+        long_enough = F.when(F.length("text") >= min_chars, F.col("text"))
+        joined = docs.withColumn("_new", F.pandas_udf(_rewrite_by(holders), new)(long_enough, F.col("doc_id").cast("string")))
+    else:
+        lost = found.join(confirmed, "key").where(F.col("doc_id") != F.col("holder"))
+        drops = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("key").alias("drop"))
+        joined = docs.join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        joined = joined.withColumn("_new", F.pandas_udf(_rewrite, new)(F.when(F.col("drop").isNotNull(), F.col("text")), F.col("drop")))
     columns = [F.coalesce(F.col("_new.text"), text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return joined.select(*columns, (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce("_new.n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -1,12 +1,13 @@
-"""Benchmark decontamination with one Aho-Corasick automaton per scan.
+"""Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts are normalised to lower-case words between single spaces (bytes.translate and split, so a scan costs little more
-than a copy). The automaton holds every window of `window` consecutive item words (an item of fewer words is one
-window), with a space at either end, and reads each text once. Matches are spans of words; for documents with hits the
-spans are mapped back to character offsets of the original text.
+Texts are normalised to lower-case words (bytes.translate and split, so a scan costs little more than a copy). The
+automaton holds every window of `window` consecutive item words (an item of fewer words is one window), each word as two
+characters of the benchmark's vocabulary, and reads each text once: words that no item has are a pair that no window
+holds. Matches are spans of words; for documents with hits the spans are mapped back to character offsets of the original
+text.
 
-The windows of the benchmark are held on the driver and broadcast in blocks of at most max_windows, so the automaton's
-size is bounded; a larger benchmark takes one scan for each block. Nothing is shuffled.
+The benchmark's words are held on the driver and broadcast; each worker process builds the automaton once, with about
+1 KB a window. More than max_windows windows are a ValueError, so its size is bounded. Nothing is shuffled.
 
 Defined cases: null text has no words; items with a null id are left out; an item_id that occurs more than once counts
 once, with the windows of all its rows; benchmark rows without words match nothing; extra columns pass through, and
@@ -16,15 +17,16 @@ columns named like the added ones are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from abundex.llm.common import keep, rename_clashes, small_batches
+from abundex.llm.common import rename_clashes, small_batches
 
 #: Bytes that stand inside words after lower-casing: digits, letters, and everything beyond ASCII.
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -38,18 +40,41 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).split() if text else []
 
 
-def windows(text: str | None, size: int) -> set[bytes]:
-    w = words(text)
-    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def automaton(patterns: list[tuple[str, int]]) -> ahocorasick.Automaton:
-    """patterns: padded windows as latin-1 text, and their index."""
-    a = ahocorasick.Automaton()
-    for i, (p, n) in enumerate(patterns):
-        a.add_word(p, (i, n))
-    a.make_automaton()
-    return a
+class Patterns:
+    """The windows of all items: what is broadcast, and the automaton that a worker builds from it once."""
+
+    def __init__(self, rows: list[tuple[object, list[bytes]]], window: int, max_windows: int):
+        self.window, self.key = window, uuid.uuid4().hex
+        self.ids = sorted({i for i, _ in rows})
+        number = {x: n for n, x in enumerate(self.ids)}
+        self.items = [(number[i], w) for i, w in rows if w]
+        self.code: dict[bytes, str] = {}
+        for _, w in self.items:
+            for x in w:
+                n = len(self.code)
+                self.code.setdefault(x, chr(0x110 + n // 255) + chr(1 + n % 255))
+        if sum(max(1, len(w) - window + 1) for _, w in self.items) > max_windows:
+            raise ValueError(f"more than {max_windows} windows; give max_windows the memory of a worker, or split the benchmark")
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Each value: the numbers of the items with the window, and its words."""
+        if _BUILT.get("key") != self.key:
+            held: dict[str, set[int]] = {}
+            for n, w in self.items:
+                code = [self.code[x] for x in w]
+                for i in range(max(1, len(w) - self.window + 1)):
+                    held.setdefault("".join(code[i : i + self.window]), set()).add(n)
+            a = ahocorasick.Automaton()
+            for x, n in held.items():
+                a.add_word(x, (tuple(n), len(x) // 2))
+            if held:
+                a.make_automaton()
+            _BUILT.update(key=self.key, automaton=a if held else None)
+        return _BUILT["automaton"]
+
+
+#: The automaton of this process.
+_BUILT: dict = {}
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -63,81 +88,46 @@ def join_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def scan_words(w: list[bytes], a, items_of: list[list]) -> tuple[set, list[tuple[int, int]]]:
-    """The item ids whose windows occur, and the word spans of all occurrences."""
-    if not w or a is None:
-        return set(), []
-    line = b" " + b" ".join(w) + b" "
-    found, hits = [], set()
-    for end, (i, n) in a.iter(line.decode("latin-1")):
-        found.append((end, n))
-        hits.add(i)
-    if not found:
-        return set(), []
-    last = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), [e for e, _ in found]).tolist()
-    return {x for i in hits for x in items_of[i]}, [(hi - n, hi) for hi, (_, n) in zip(last, found)]
-
-
-def blocks(benchmark: DataFrame, window: int, max_windows: int):
-    """Lists of (padded window, words, item ids), each of at most max_windows (or one row's) entries."""
-    block: dict[bytes, set] = {}
-    for r in benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id").toLocalIterator():
-        new = windows(r["text"], window)
-        if block and len(block) + len(new) > max_windows:
-            yield block
-            block = {}
-        for x in new:
-            block.setdefault(x, set()).add(r["item_id"])
-    if block:
-        yield block
-
-
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 500_000) -> DataFrame:
+def scan_words(w: list[bytes], a, code: dict[bytes, str]) -> tuple[set[int], list[tuple[int, int]]]:
+    """The numbers of the items whose windows occur, and the word spans of all occurrences."""
+    items: set[int] = set()
+    spans = []
+    if w and a is not None:
+        for end, (found, n) in a.iter("".join([code.get(x, "\0\0") for x in w])):
+            items.update(found)
+            spans.append((end // 2 + 1 - n, end // 2 + 1))
+    return items, spans
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 1_000_000) -> DataFrame:
     """docs with n_words and n_hit (long), item_ids (array) and hit_spans (array of start, end offsets in text)."""
-    docs = small_batches(rename_clashes(docs, [*ADDED, "_items", "_spans"]))
+    docs = small_batches(rename_clashes(docs, ADDED))
     ids = T.ArrayType(benchmark.schema["item_id"].dataType)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     done = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", ids), T.StructField("hit_spans", T.ArrayType(span))])
-    part = T.StructType([*docs.schema.fields, T.StructField("_items", ids), T.StructField("_spans", T.ArrayType(T.LongType()))])
-    cuts = list(blocks(benchmark, window, max_windows)) or [{}]
-    out = docs
-    for i, block in enumerate(cuts):
-        shared = docs.sparkSession.sparkContext.broadcast([(f" {p.decode('latin-1')} ", p.count(b" ") + 1, sorted(x)) for p, x in sorted(block.items())])
-        last = i == len(cuts) - 1
-        out = out.mapInArrow(_scanner(shared, docs.columns, last), done if last else part)
-        if not last:
-            out = keep(out, "decontam")
-    return out
+    known = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
+    patterns = Patterns([(r["item_id"], words(r["text"])) for r in known.toLocalIterator()], window, max_windows)
+    return docs.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(patterns), to_arrow_type(ids)), done)
 
 
-def _scanner(shared, columns: list[str], last: bool):
+def _scanner(shared, kind: pa.DataType):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         known = shared.value
-        items_of = [ids for _, _, ids in known]
-        a = automaton([(p, n) for p, n, _ in known]) if known else None
-        kind = pa.list_(pa.array([items_of[0][0] if items_of else 0]).type)
+        a = known.automaton()
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = b["text"].to_pylist()
-            before = list(zip(b["_items"].to_pylist(), b["_spans"].to_pylist())) if "_items" in b.schema.names else [((), ())] * len(texts)
             rows = []
-            for text, (items, spans) in zip(texts, before):
+            for text in b["text"].to_pylist():
                 w = words(text)
-                more, new = scan_words(w, a, items_of)
-                rows.append((len(w), sorted({*items, *more}), join_spans([*zip(spans[::2], spans[1::2]), *new])))
-            own = [b[c] for c in columns]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], kind), pa.array([[x for s in r[2] for x in s] for r in rows], pa.list_(pa.int64()))], names=[*columns, "_items", "_spans"])
-                continue
-            places = []
-            for text, (_, _, spans) in zip(texts, rows):
-                at = [m.span() for m in WORD.finditer(text)] if spans else ()
-                places.append([{"start": at[lo][0], "end": at[hi - 1][1]} for lo, hi in spans])
-            new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([sum(hi - lo for lo, hi in r[2]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array(places, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays([*own, *new], names=[*columns, *ADDED])
+                items, spans = scan_words(w, a, known.code)
+                joined = join_spans(spans)
+                at = [m.span() for m in WORD.finditer(text)] if joined else ()
+                rows.append((len(w), sum(hi - lo for lo, hi in joined), [known.ids[n] for n in sorted(items)], [{"start": at[lo][0], "end": at[hi - 1][1]} for lo, hi in joined]))
+            new = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind, pa.list_(span)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *ADDED])
 
     return run
 

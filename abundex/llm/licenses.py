@@ -3,10 +3,10 @@
 Template shingles are five consecutive words (a shorter template is one shingle). Templates of similar length share a
 class with overlapping windows: a window holds `longest + step` shingles and the next one starts `step` later, so every
 occurrence of a template lies in some window whole. A window's MinHash bands (one token each) are the minima of its
-shingle hashes under random masks. A window that contains a template to the extent of `containment` has at least a
+shingles rehashed with each band's seed. A window that contains a template to the extent of `containment` has at least a
 Jaccard similarity j with it that follows from the lengths, and the number of bands makes (1 - j) ** bands less than
-`miss`. Windows that share a band with a template are verified exactly: the share of the template's shingles in the
-window.
+`miss`. Windows that share a band with a template are verified exactly, once, at the first such band: the share of the
+template's shingles in the window.
 
 Only windows with an anchor are cut. A template's anchors are words such that over 1 - containment of its shingles hold
 one, so a text or window without any anchor can't reach the containment, and none is lost.
@@ -79,7 +79,7 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 class Class:
-    """Templates of similar length: shingle size, window and step in shingles, band masks."""
+    """Templates of similar length: shingle size, window and step in shingles, band seeds."""
 
     def __init__(self, size: int, members: list[tuple[str, list[int]]], containment: float, miss: float):
         self.size, self.members = size, members
@@ -90,10 +90,7 @@ class Class:
         shared = math.ceil(containment * shortest - 1e-9)
         self.jaccard = shared / (self.window + shortest - shared)
         rng = random.Random(5 * longest + size)
-        self.masks = [rng.getrandbits(64) - (1 << 63) for _ in range(math.ceil(math.log(miss) / math.log(1 - self.jaccard)))]
-
-    def tokens(self, shingles: list[int]) -> list[int]:
-        return [min(s ^ m for s in shingles) for m in self.masks]
+        self.seeds = [rng.getrandbits(63) for _ in range(math.ceil(math.log(miss) / math.log(1 - self.jaccard)))]
 
 
 def classes(spark: SparkSession, templates: dict[str, str], containment: float, miss: float, max_templates: int) -> list[Class]:
@@ -118,8 +115,13 @@ def classes(spark: SparkSession, templates: dict[str, str], containment: float,
     return out
 
 
-def _token(shingles: Column, mask: int) -> Column:
-    return F.array_min(F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask))))
+def _tokens(shingles: Column, g: Class) -> Column:
+    """One token a band."""
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(seed))))
+
+    return F.array(*map(least, g.seeds))
 
 
 def _windows(words: Column, shingles: Column, g: Class, wanted: list[str], number: int) -> Column:
@@ -155,11 +157,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     forget(texts)
     found = None
     for c, g in enumerate(groups):
-        rows = [(j, t, name, sorted(set(shingles))) for name, shingles in g.members for j, t in enumerate(g.tokens(shingles))]
-        known = spark.createDataFrame(rows, "band int, token long, license_id string, template array<long>")
-        banded = windows.where(F.col("class") == c).select("doc_id", "at", "s", F.posexplode(F.array(*[_token(F.col("s"), m) for m in g.masks])).alias("band", "token"))
+        members = spark.createDataFrame([(name, sorted(set(shingles))) for name, shingles in g.members], "license_id string, template array<long>").withColumn("own", _tokens(F.col("template"), g))
+        known = members.select("license_id", "template", "own", F.posexplode("own").alias("band", "token"))
+        banded = windows.where(F.col("class") == c).withColumn("tokens", _tokens(F.col("s"), g)).select("doc_id", "at", "s", "tokens", F.posexplode("tokens").alias("band", "token"))
+        first = F.array_position(F.zip_with("tokens", "own", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
         # the table has one row a template and band, at most max_templates in all classes
-        hits = banded.join(F.broadcast(known), ["band", "token"]).select("doc_id", "at", "license_id", (F.size(F.array_intersect("template", "s")) / F.size("template")).alias("containment")).where(F.col("containment") >= containment)
+        hits = banded.join(F.broadcast(known), ["band", "token"]).where(first).select("doc_id", "at", "license_id", (F.size(F.array_intersect("template", "s")) / F.size("template")).alias("containment")).where(F.col("containment") >= containment)
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"), F.max(F.struct("containment", (-F.col("at")).alias("back"))).alias("best"))
     return best.select("doc_id", "license_id", "containment", (-F.col("best.back")).cast("long").alias("first_word"))

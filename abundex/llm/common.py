@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master whose session names no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/abundex"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, which only a local master may leave unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -83,6 +87,22 @@ class Arrays:
             return np.empty(0, dtype)
         return np.memmap(path, dtype, "w+", shape=(size,))
 
+    @property
+    def mounted(self) -> bool:
+        """Whether workers write where others map."""
+        return not self._ship
+
+    def reserve(self, name: str, dtype, size: int) -> None:
+        """A file of size items for the workers to fill."""
+        with open(os.path.join(self._dir, f"{name}.raw"), "wb") as f:
+            f.truncate(size * np.dtype(dtype).itemsize)
+
+    def write(self, name: str, start: int, array: np.ndarray) -> None:
+        """Items from start on; a task that runs again writes the same."""
+        with open(os.path.join(self._dir, f"{name}.raw"), "r+b") as f:
+            f.seek(start * array.itemsize)
+            f.write(np.ascontiguousarray(array).data)
+
     def discard(self, names: list[str]) -> None:
         """Delete raw files that only the driver needed."""
         for name in names:

@@ -4,8 +4,9 @@ Counting moves packed arrays, not rows: a task sums what it read into sorted arr
 each range as one row; a range's task merges them. First the words (64-bit hashes and counts) make a sorted vocabulary;
 then bigrams, as pairs of vocabulary ranks, make a sorted key array, and from it the classes of continuations of every
 context and the left contexts of every word. Ranges are cut by token counts, so a frequent word's bigrams are spread
-over several ranges. The driver streams one range at a time into the files of the model: sorted arrays of hashes or
-keys beside probabilities and back-off weights, which workers search by bisection. All training tokens are counted, no
+over several ranges. Each range's task writes its place in the files of the model: sorted arrays of hashes or
+keys beside probabilities and back-off weights, which workers map and search by bisection; the driver sees sizes and sums
+only. (Where the shared folder isn't a mounted path, the driver writes the files, range by range, and sends them out.) All training tokens are counted, no
 n-gram is pruned, and the model grows with the corpus; it must fit a worker's disk, not its memory.
 
 Defined cases: null text is empty, a text of one end token; a null doc_id isn't held out; without any training document
@@ -104,12 +105,18 @@ def _summed(docs: DataFrame, keys_of, cuts: np.ndarray) -> DataFrame:
 def _gather(batches):
     """part -> merged (keys, counts), of the rows of one partition."""
     state: dict[int, list] = {}
+
+    def merged(rows):
+        return tally(np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows]))
+
     for b in batches:
         for part, k, c in zip(*(b[x].to_pylist() for x in ("part", "keys", "counts"))):
-            state.setdefault(part, []).append((unpack_sorted(k), unpack(c, np.uint64)))
+            rows = state.setdefault(part, [])
+            rows.append((unpack_sorted(k), unpack(c, np.uint64)))
+            if sum(len(x) for x, _ in rows[1:]) > max(FLUSH, len(rows[0][0])):
+                state[part] = [merged(rows)]
     for part in list(state):
-        rows = state.pop(part)
-        yield part, *tally(np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows]))
+        yield part, *merged(state.pop(part))
 
 
 def _count_words(docs: DataFrame, parts: int, shuffle: int) -> DataFrame:
@@ -124,12 +131,26 @@ def _count_words(docs: DataFrame, parts: int, shuffle: int) -> DataFrame:
 
 
 def _fill(table: DataFrame, arrays: Arrays, columns: dict) -> dict[int, int]:
-    """Stream the ranges of a table (part, size, ...) into raw files; columns: name -> (dtype, row -> array)."""
+    """Write the ranges of a table (part, size, ...) into raw files; columns: name -> (dtype, row -> array)."""
     sizes = {r["part"]: r["size"] for r in table.select("part", "size").collect()}
     start, at = {}, 0
     for p in sorted(sizes):
         start[p] = at
         at += sizes[p]
+    if arrays.mounted:
+        for n, (d, _) in columns.items():
+            arrays.reserve(n, d, at)
+
+        def write(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    r = {c: b[c][i].as_py() for c in b.schema.names}
+                    for n, (d, f) in columns.items():
+                        arrays.write(n, start[r["part"]], f(r).astype(d, copy=False))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int64())], names=["part"])
+
+        table.mapInArrow(write, "part long").agg(F.count("part")).first()
+        return start
     files = {n: arrays.create_raw(n, d, at) for n, (d, _) in columns.items()}
     for r in table.toLocalIterator():
         for n, (_, f) in columns.items():
@@ -188,27 +209,39 @@ def _before(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def _pair_cuts(counts: np.ndarray, end: int, texts: int, parts: int, base: int, step: int = 1 << 20) -> np.ndarray:
-    """First pairs of all ranges but the first, so that each range has about as many tokens after its contexts; a
-    frequent context is cut by the rank of the next word. Reads the counts piece by piece."""
-    n_words = base - 1
-    total = sum(float(counts[lo : lo + step].sum()) for lo in range(0, n_words, step))  # the end is no context, the begin is
-    targets = np.arange(1, parts) * (total / parts)
-    out, run = [], 0.0
-    for lo in range(0, n_words + 1, step):
-        c = np.asarray(counts[lo : lo + step], np.float64)
-        if lo <= end < lo + len(c):
-            c[end - lo] = 0
-        if lo + step > n_words:
-            c = np.append(c, texts)
-        cum = run + np.cumsum(c)
-        own = targets[(targets >= run) & (targets < cum[-1])]
-        first = np.searchsorted(cum, own, "right")
-        before = np.where(first > 0, cum[first - 1], run)
-        share = (own - before) / np.maximum(cum[first] - before, 1)
-        out.append((first + lo).astype(np.uint64) * np.uint64(base) + (share * n_words).astype(np.uint64))
-        run = cum[-1]
-    return np.unique(np.concatenate(out))
+def _pair_cuts(counts: np.ndarray, first_rank: int, run: float, targets: np.ndarray, base: int) -> np.ndarray:
+    """The pairs at which the targets lie that fall into one range of contexts; run: tokens after earlier contexts. A
+    frequent context is cut by the rank of the next word."""
+    cum = run + np.cumsum(counts)
+    own = targets[(targets >= run) & (targets < cum[-1])]
+    first = np.searchsorted(cum, own, "right")
+    before = np.where(first > 0, cum[first - 1], run)
+    share = (own - before) / np.maximum(cum[first] - before, 1)
+    return (first + first_rank).astype(np.uint64) * np.uint64(base) + (share * (base - 1)).astype(np.uint64)
+
+
+def _cuts(vocab: DataFrame, start: dict[int, int], end: int, texts: int, parts: int, base: int) -> np.ndarray:
+    """First pairs of all ranges but the first, so that each range has about as many tokens after its contexts. The end
+    is no context; the begin is one, after the words."""
+    sizes = {r["part"]: (r["size"], r["total"]) for r in vocab.select("part", "size", "total").collect()}
+    last, run, at = max(sizes), {}, 0.0
+    for p in sorted(sizes):
+        run[p] = at
+        at += sizes[p][1] - (texts if start[p] <= end < start[p] + sizes[p][0] else 0)
+    targets = np.arange(1, parts) * ((at + texts) / parts)
+
+    def cuts(batches):
+        for b in batches:
+            for part, raw in zip(b["part"].to_pylist(), b["counts"].to_pylist()):
+                c = unpack(raw, np.uint64).astype(np.float64)
+                if start[part] <= end < start[part] + len(c):
+                    c[end - start[part]] = 0
+                if part == last:
+                    c = np.append(c, texts)
+                yield pa.RecordBatch.from_arrays([pa.array(_pair_cuts(c, start[part], run[part], targets, base).view(np.int64))], names=["cut"])
+
+    found = vocab.select("part", "counts").mapInArrow(cuts, "cut long").toArrow()["cut"].to_numpy()  # at most a cut a range
+    return np.unique(found.astype(np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, parts: int | None = None) -> Model:
@@ -216,22 +249,22 @@ def fit(docs: DataFrame, parts: int | None = None) -> Model:
     spark = docs.sparkSession
     docs = small_batches(docs.select("text"))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or max(64, 2 * shuffle)
-    vocab = _count_words(docs, parts, shuffle)
+    vocab = _count_words(docs, parts or max(64, 2 * shuffle), shuffle)
     n_words, tokens = (int(x or 0) for x in vocab.agg(F.sum("size"), F.sum("total")).first())
     if not n_words:
         return Model(None, 0, 0, 1.0)
     if n_words >= 1 << 32:
         raise ValueError("ranks of over 2**32 words don't pack into 64-bit pairs")
     arrays = Arrays(spark, "wordlm")
-    _fill(vocab, arrays, {"words": (np.uint64, lambda r: unpack_sorted(r["keys"])), "counts": (np.uint64, lambda r: unpack(r["counts"], np.uint64))})
-    forget(vocab)
+    start = _fill(vocab, arrays, {"words": (np.uint64, lambda r: unpack_sorted(r["keys"])), "counts": (np.uint64, lambda r: unpack(r["counts"], np.uint64))})
     arrays.publish(["words", "counts"])
-    words, counts = arrays.get_raw("words", np.uint64), arrays.get_raw("counts", np.uint64)
-    end = int(_ranks(words, np.array([xxhash.xxh3_64_intdigest(END)], np.uint64))[0])
-    texts = int(counts[end])
+    end = int(_ranks(arrays.get_raw("words", np.uint64), np.array([xxhash.xxh3_64_intdigest(END)], np.uint64))[0])
+    texts = int(arrays.get_raw("counts", np.uint64)[end])
     base = n_words + 1
-    cuts = _pair_cuts(counts, end, texts, parts, base)
+    parts = parts or max(64, 2 * shuffle, tokens >> 21)
+    shuffle = max(shuffle, parts // 2)
+    cuts = _cuts(vocab, start, end, texts, parts, base)
+    forget(vocab)
 
     def pairs(texts):
         h, sizes = token_hashes(texts)
@@ -278,7 +311,7 @@ def fit(docs: DataFrame, parts: int | None = None) -> Model:
 
     def context(part: int) -> np.ndarray:
         """Occurrences of each context of a range; the begin comes after the words."""
-        own = np.asarray(counts[edges[part] : min(edges[part + 1], n_words)], np.float64)
+        own = np.asarray(arrays.get_raw("counts", np.uint64)[edges[part] : min(edges[part + 1], n_words)], np.float64)
         return np.append(own, texts) if edges[part + 1] == base else own
 
     def back_off(r):
@@ -286,23 +319,19 @@ def fit(docs: DataFrame, parts: int | None = None) -> Model:
         return lost / np.maximum(context(r["part"]), 1)
 
     d1, d2 = np.array(d1), np.array(d2)
-    lost = {"n": 0.0}
+    # every word has a left context; the share that the discounts leave goes to all words alike
+    uniform = float(d1[1] * of[0] + d1[2] * of[1] + d1[3] * (n_words - of[0] - of[1])) / types / (n_words + 1)
 
     def left(r):
         c = unpack(r["c1"], np.uint32)
-        lost["n"] += float(d1[np.minimum(c, 3)].sum())
-        return (c - d1[np.minimum(c, 3)]) / types
+        return (c - d1[np.minimum(c, 3)]) / types + uniform
 
     _fill(by_word, arrays, {"back": (np.float32, back_off), "unigram": (np.float64, left)})
-    uniform = lost["n"] / types / (n_words + 1)
-    unigram = arrays.get_raw("unigram", np.float64, "r+")
-    unigram += uniform
-    unigram.flush()
 
     def probability(r):
         k, c = unpack_sorted(r["keys"]), unpack(r["counts"], np.uint32)
         at = (k // np.uint64(base)).astype(np.int64)
-        total = np.where(at == n_words, texts, counts[np.minimum(at, n_words - 1)]).astype(np.float64)
+        total = np.where(at == n_words, texts, arrays.get_raw("counts", np.uint64)[np.minimum(at, n_words - 1)]).astype(np.float64)
         return (c - d2[np.minimum(c, 3)]) / total
 
     _fill(big, arrays, {"pairs": (np.uint64, lambda r: unpack_sorted(r["keys"])), "pair_p": (np.float32, probability)})

@@ -20,7 +20,6 @@ ValueError beyond it.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
@@ -31,39 +30,8 @@ from pyspark.sql import functions as F
 from abundex.llm.common import Arrays, rename_clashes
 
 ADDED = ["source_block", "mix_block", "mix_index"]
-
-
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Slots of each weight in a period: at least one, by largest remainders, period in all."""
-    total = sum(weights)
-    exact = [max(w / total * period, 1e-9) for w in weights]
-    q = [max(1, math.floor(x)) for x in exact]
-    by_rest = sorted(range(len(q)), key=lambda i: (q[i] - exact[i], i))
-    i = 0
-    while sum(q) < period:
-        q[by_rest[i % len(q)]] += 1
-        i += 1
-    while sum(q) > period:
-        q[max((i for i in range(len(q)) if q[i] > 1), key=lambda i: (q[i] - exact[i], q[i]))] -= 1
-    return q
-
-
-def one_period(q: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks: earliest deadline first among released blocks."""
-    period = sum(q)
-    slots: list[list[int]] = [[] for _ in q]
-    releases: list[tuple[int, int]] = [(0, i) for i in range(len(q))]
-    heapq.heapify(releases)
-    due: list[tuple[int, int]] = []
-    for t in range(period):
-        while releases and releases[0][0] <= t:
-            _, i = heapq.heappop(releases)
-            heapq.heappush(due, (-(-(len(slots[i]) + 1) * period // q[i]), i))
-        _, i = heapq.heappop(due)
-        slots[i].append(t)
-        if len(slots[i]) < q[i]:
-            heapq.heappush(releases, (max(t + 1, len(slots[i]) * period // q[i]), i))
-    return slots
+#: A time this near to a whole number is that number.
+NEAR = 1e-6
 
 
 class _Fluid:
@@ -92,15 +60,14 @@ def _schedule(blocks: np.ndarray, weights: np.ndarray, out: np.ndarray, start: n
     t = 0
     for lo in range(0, total, step):
         hi = total if lo + step >= total else lo + step
-        upto = blocks if hi == total else np.minimum(blocks, np.ceil(fluid.virtual(hi) * weights).astype(np.int64))
+        upto = blocks if hi == total else np.minimum(blocks, np.ceil(fluid.virtual(hi - NEAR) * weights).astype(np.int64))
         n = np.maximum(upto - done, 0)
         i = np.repeat(np.arange(len(blocks)), n)
         k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + done[i]
         done += n
-        # a time within rounding of a whole number is that number
-        release = np.floor(fluid.time(k / weights[i]) + 1e-7).astype(np.int64)
+        release = np.floor(fluid.time(k / weights[i]) + NEAR).astype(np.int64)
         finish = fluid.time((k + 1) / weights[i])
-        deadline = np.ceil(finish - 1e-7).astype(np.int64)
+        deadline = np.ceil(finish - NEAR).astype(np.int64)
         order = np.lexsort((i, deadline, release))
         jobs = zip(release[order].tolist(), deadline[order].tolist(), finish[order].tolist(), (start[i] + k)[order].tolist())
         job = next(jobs, None)

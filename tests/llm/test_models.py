@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abundex.llm import common, components, langid, mixing, neardup, rules, wordlm
-from abundex.llm.stats import VECTOR
+from abundex.llm.stats import COUNTS, VECTOR, text_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,10 +126,68 @@ def test_rare_languages_can_reject(spark):
     assert not out.rejected[1] and out.rejected[2]
 
 
-def test_bounded_keeps_the_frequent(spark):
-    counts = spark.createDataFrame([("en", f"g{i:03d}", i) for i in range(1, 50)] + [("de", "abcd", 1)], "lang string, gram string, n long")
-    kept = langid.bounded(counts, 10).toPandas()
-    assert sorted(kept[kept.lang == "en"].n) == list(range(40, 50)) and len(kept[kept.lang == "de"]) == 1
+def plain_characters(text):
+    """Lower-case letters, and one blank for what follows a letter and is none."""
+    out, after = [], False
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif after:
+            out.append(" ")
+        after = c.isalpha()
+    return "".join(out)
+
+
+def plain_char_model(texts):
+    """p(context, character) of one language; alphabet is set later."""
+    n = langid.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        t = " " * (n - 1) + plain_characters(t)
+        counts[n].update(t[i - n + 1 : i + 1] for i in range(n - 1, len(t)))
+    for m in range(n - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    d, total, types = {}, {}, {}
+    for m, c in counts.items():
+        n1, n2 = (sum(x == i for x in c.values()) for i in (1, 2))
+        d[m] = min(max(n1 / (n1 + 2 * n2) if n1 + n2 else 0.5, 0.1), 0.9)
+        total[m], types[m] = Counter(), Counter()
+        for g, x in c.items():
+            total[m][g[:-1]] += x
+            types[m][g[:-1]] += 1
+
+    def p(gram, alphabet):
+        if not gram:
+            return 1 / alphabet
+        m, low = len(gram), p(gram[1:], alphabet)
+        c = gram[:-1]
+        if not total[m][c]:
+            return low
+        return max(counts[m][gram] - d[m], 0) / total[m][c] + d[m] * types[m][c] / total[m][c] * low
+
+    return p, {g for g in counts[1]}
+
+
+def test_language_id_equals_plain_kneser_ney(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).toPandas()
+    docs["text"] = docs.text.str[:400]
+    docs.loc[3, "text"], docs.loc[5, "lang"] = None, None
+    df = spark.createDataFrame(docs[["doc_id", "text", "lang"]].astype(object).where(docs[["doc_id", "text", "lang"]].notna(), None))
+    train = docs[[not held(i, 4, 2) for i in docs.doc_id]].dropna(subset=["text", "lang"])
+    models = {x: plain_char_model(train[train.lang == x].text) for x in sorted(train.lang.unique())}
+    alphabet = len(set().union(*(a for _, a in models.values()))) + 1
+    out = langid.predict(df).toPandas().set_index("doc_id")
+    n = langid.ORDER
+    for i, text in zip(docs.doc_id, docs.text):
+        t = plain_characters(text or "")
+        if not t:
+            assert out.lang_pred[i] == "und"
+            continue
+        padded = " " * (n - 1) + t
+        ce = {x: -sum(math.log(p(padded[j : j + n], alphabet)) for j in range(len(t))) / len(t) for x, (p, _) in models.items()}
+        best = min(ce, key=ce.get)
+        assert out.cross_entropy[i] == pytest.approx(ce[best], rel=1e-4)
+        assert out.lang_pred[i] == best
 
 
 # word model
@@ -183,10 +241,13 @@ def test_word_model_equals_plain_one(spark, sf):
     assert h.score.sum() > h.base_score.sum()
 
 
-def test_word_model_edges(spark):
+def test_word_model_edges(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, "a b A b"), (None, "a c"), (4, "new words"), (5, "x " * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("keys", F.lit(1))
     model = wordlm.fit(df.where("doc_id <> 4 or doc_id is null"), parts=3)
+    monkeypatch.setattr(common.Arrays, "mounted", False)  # the driver writes the files
+    again = wordlm.score(df, wordlm.fit(df.where("doc_id <> 4 or doc_id is null"))).select("score").collect()
+    assert sorted(r["score"] for r in again) == sorted(r["score"] for r in wordlm.score(df, model).select("score").collect())
     out = {r["doc_id"]: r for r in wordlm.score(df, model).collect()}
     c, p = plain_model([None, "", "a b A b", "a c", "x " * 100_000])
     for i, t in rows:
@@ -203,10 +264,11 @@ def test_pair_cuts_are_even():
     counts = rng.integers(1, 50, 300).astype(np.uint64)
     counts[17], end = 5000, 40
     texts, base = int(counts[end]), 301
-    cuts = [wordlm._pair_cuts(counts, end, texts, 8, base, step) for step in (7, 100, 301, 1 << 20)]
-    assert all((c == cuts[0]).all() for c in cuts) and len(cuts[0]) == 7
     context = np.append(counts, texts).astype(float)
     context[end] = 0
+    targets = np.arange(1, 8) * (context.sum() / 8)
+    cuts = [np.concatenate([wordlm._pair_cuts(context[lo : lo + step], lo, context[:lo].sum(), targets, base) for lo in range(0, 301, step)]) for step in (7, 100, 301)]
+    assert all((c == cuts[0]).all() for c in cuts) and len(cuts[0]) == 7
     keys = np.arange(301 * 301)
     load = np.bincount(np.searchsorted(cuts[0], keys, "right"), context[keys // 301] / 301)
     assert load.max() < 1.05 * load.mean()
@@ -244,6 +306,22 @@ def test_classifier_held_out(spark, sf):
     assert (d.predicted == d.quality).mean() > 0.9
 
 
+def test_scores_equal_plain_rules(spark, sf, monkeypatch):
+    """The compiled expression against the rules, one by one, over statistics in plain Python."""
+    learned = []
+    plain = rules.fit_rules
+    monkeypatch.setattr(rules, "fit_rules", lambda x, y: learned.append(plain(x, y)) or learned[-1])
+    out = rules.op8_quality_classifier(spark, sf).toPandas().set_index("doc_id")
+    (b, found), = learned
+    assert found
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        c = dict(zip(COUNTS, text_counts(r["text"])))
+        rate = lambda a, b: c[a] / max(c[b], 1)
+        v = [math.log1p(c["n_words"]), math.log1p(rate("word_chars", "n_words")), *(math.sqrt(rate(a, b)) for a, b in (("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_digits", "word_chars"), ("n_punct", "n_words"), ("n_other", "n_words"))), math.log1p(c["n_distinct"]) / max(math.log1p(c["n_words"]), 0.5), math.log1p(rate("n_words", "n_lines")), math.log1p(c["max_word"])]
+        z = b + sum(w for rule, w in found if all((v[f] > cut) == greater for f, greater, cut in rule))
+        assert out.score[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_classifier_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x y z"), (3, "w " * 100_000), (3, "again")], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("v0", F.lit(1))
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -257,27 +335,37 @@ def test_classifier_edges(spark):
 # mixing
 
 
-def test_less_than_one_block_of_deviation():
+def test_every_block_has_a_slot():
     rng = np.random.default_rng(0)
     for _ in range(200):
         m = int(rng.integers(1, 9))
         w = list(rng.random(m) + 0.01)
-        period = max(64, 4 * m)
-        q = mixing.quotas(w, period)
-        slots = mixing.one_period(q)
-        assert sorted(x for s in slots for x in s) == list(range(period))
-        for i in range(m):
-            got = np.cumsum(np.isin(np.arange(period), slots[i]))
-            assert (np.abs(got - q[i] / period * np.arange(1, period + 1)) < 1).all()
         b = [int(x) for x in rng.integers(0, 300, m)]
-        phases = mixing.plan(b, w, 64)
-        assert sorted(np.concatenate([mixing.slots_of(p, np.arange(n)) if n else [] for p, n in zip(phases, b)])) == list(range(sum(b)))
-
-
-@pytest.mark.parametrize("w", [[0.5, 0.3, 0.2], [(i + 1) ** 0.5 for i in range(20)], [0.0001, 0.6, 0.3999]])
+        slots = mixing.plan(b, w, 64)
+        assert sorted(np.concatenate([mixing.slots_of(p, np.arange(n)) if n else [] for p, n in zip(slots, b)])) == list(range(sum(b)))
+        assert all((np.diff(s) > 0).all() for s in slots)
+
+
+@pytest.mark.parametrize("w", [[1, 1, 1], [1, 2, 5], [1, 10**0.5, 10], [1, 1, 1000], [3, 7, 11, 13]])
+def test_schedule_is_earliest_deadline_first(w):
+    """Slot by slot: the block there is released, and no other released block is due before it."""
+    blocks, total = [1500] * len(w), sum(w)
+    every = np.empty(sum(blocks), int)
+    for i, s in enumerate(mixing.plan(blocks, w, 97)):
+        every[s] = i
+    release = lambda i: math.floor(taken[i] * total / w[i] + 1e-6)
+    due = lambda i: math.ceil((taken[i] + 1) * total / w[i] - 1e-6)
+    taken = [0] * len(w)
+    for t in range(int(min(n * total / x for n, x in zip(blocks, w)))):  # until a source runs out
+        i = every[t]
+        assert release(i) <= t < due(i) and due(i) == min(due(j) for j in range(len(w)) if release(j) <= t)
+        taken[i] += 1
+
+
+@pytest.mark.parametrize("w", [[0.5, 0.3, 0.2], [(i + 1) ** 0.5 for i in range(20)], [0.0001, 0.6, 0.3999], [1, 1, 1], [1, 10**0.5, 10], [1, 1, 1000]])
 def test_weights_are_met_over_many_blocks(w):
     share = np.array(w) / sum(w)
-    blocks = [24_000] * len(w)
+    blocks = [60_000 if len(w) == 3 else 24_000] * len(w)
     slots = mixing.plan(blocks, w)
     first = min(n / x for n, x in zip(blocks, share))  # when the first source runs out
     t = np.arange(1, int(first))

@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes the documents that its predecessor kept, as Parquet, and returns the columns of documents (the last
-one adds the place in the mixture).
+one adds the place in the mixture). A stage's table is deleted once the next one is written.
+
+Defined cases, after the operators': null texts and texts without letters are rejected by the first stage, as are all
+documents where none has a language; rows that repeat a doc_id are one document of the third; columns beyond those of
+documents pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundex.llm import decontam, langid, linededup, mixing, neardup
-from abundex.llm.common import keep
+from abundex.llm.common import forget, keep
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        kept = keep(stage(spark, docs, sf_dir), name)
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

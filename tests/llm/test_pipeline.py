@@ -66,3 +66,20 @@ def test_mix_stage(stages):
 def test_run(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf)
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(r["doc_id"] for r in stages[5].select("doc_id").collect())
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in all columns, empty texts, repeated rows, a clashing column; then an empty table."""
+    words = "the cat went home and the dog ran away from this old house again".split()
+    rows = [(i, " ".join(words[(i * j) % 13] for j in range(1, 40)), "en" if i % 7 else None, None if i % 5 == 0 else "s", 1) for i in range(1, 60)]
+    rows += [(100, None, "en", "s", 1), (101, "", None, None, None), (102, "123", "en", "s", 1), (None, rows[0][1], "en", "s", 1), rows[3], rows[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("full", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).withColumn("mix_block", F.lit("clash")).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "no such words anywhere in it"), (None, "the cat"), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert got.schema["mix_block"].dataType.typeName() == "long"
+        ids = [r["doc_id"] for r in got.collect()]
+        assert not {100, 101, 102} & set(ids) and len(ids) <= len(some)
+        assert bool(ids) == bool(some) and (not some or (None in ids and 1 in ids))

@@ -56,18 +56,18 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     return kept
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, label) of every vertex that isn't the least of its component; edges are (u, v) longs."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) of every vertex that isn't the least of its component; edges are (u, v) longs. The rounds end when
+    one changes nothing, after about log2 of the longest path."""
     e = keep(contract(edges).distinct(), "cc", edges.count())
     n = e.count()
     state = None
-    for _ in range(max_rounds):
+    while True:
         big = _star(e, True, n)
         forget(e)
         e = _star(big, False, n)
         forget(big)
         new = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
-            break
+            return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
         state = new
-    return e.select(F.col("u").alias("id"), F.col("v").alias("label"))

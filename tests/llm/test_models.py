@@ -1,6 +1,7 @@
 """Language ID, word model, rule ensemble, mixing, near-dedup, components, shared arrays."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -556,6 +557,7 @@ def test_a_dense_group_of_thousands(spark, words, edits, step, linked):
     assert (got.component_id.to_numpy() == label).all()
 
 
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes minutes; set SLOW_TESTS=1")
 def test_pairs_meet_below_level_three(spark, monkeypatch):
     """All linked pairs of a group whose nodes branch many times: the trees follow the depth."""
     rng = random.Random(12)

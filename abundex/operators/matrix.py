@@ -62,7 +62,7 @@ def _rolled(sequences: DataFrame, k: int, by: str, value: str | None, combine: s
                     continue
                 row = np.array(rows)[owner]
                 g = group[row]
-                order = np.lexsort((codes, g)) if g.min() != g.max() else np.argsort(codes, kind="stable")
+                order = _grouped(codes, g, k)
                 codes, g = codes[order], g[order]
                 first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (g[1:] != g[:-1]))))
                 n = np.maximum.reduceat(amount[row][order], first) if combine == "max" else np.diff(np.append(first, len(codes)))
@@ -73,11 +73,22 @@ def _rolled(sequences: DataFrame, k: int, by: str, value: str | None, combine: s
     return sequences.select(*columns).mapInArrow(run, schema)
 
 
+def _grouped(codes: np.ndarray, g: np.ndarray, k: int) -> np.ndarray:
+    """An order that brings equal (code, group) together; both fit one number but for long k-mers in many groups."""
+    bits = int(g.max()).bit_length()
+    if 2 * k + bits <= 63:
+        return np.argsort((codes << bits) | g)
+    return np.lexsort((codes, g))
+
+
 def kmer_matrix(sequences: DataFrame, k: int, mode: str = "exact", by: str = "dataset", saturate: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """matrix(kmer, by, count) of sequences(by, seq, count): the largest recorded count of each cell.
 
     Cells whose recorded count is 0 are absent. For k > 31 k-mers are strings. only: a table of k-mers outside of which
-    nothing is wanted; it prunes before the shuffle."""
+    nothing is wanted; it prunes before the shuffle.
+
+    The roller leaves a k-mer once a block and dataset, so cells go straight to their k-mer's partition, which
+    count_vectors() and joins on the k-mer find in place; strings, not summed up before, are by partial aggregates."""
     recorded = record(F.col("n"), mode, saturate)
     if k <= MAX_CODE_K:
         cells = _rolled(sequences, k, by, "count", "max")
@@ -85,6 +96,8 @@ def kmer_matrix(sequences: DataFrame, k: int, mode: str = "exact", by: str = "da
         cells = positions(sequences.select(by, "seq", F.col("count").cast("long").alias("n")), k, [by, "n"], code=False)
     if only is not None:
         cells = cells.join(only, "kmer", "left_semi")
+    if k <= MAX_CODE_K:
+        cells = cells.repartition("kmer")
     # the recorded value grows with the count, so the largest count has the largest record
     return cells.groupBy("kmer", by).agg(F.max("n").alias("n")).select("kmer", by, recorded.alias("count")).where("count > 0")
 

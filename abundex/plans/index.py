@@ -20,6 +20,8 @@ from abundex.sources import fasta
 
 #: K-mers of a bucket, and the most buckets.
 BUCKET_KMERS, MAX_BUCKETS = 250_000, 4096
+#: Names of datasets that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 @dataclass
@@ -138,7 +140,10 @@ def build_from_table(table: DataFrame, text: str, dataset: str, abundance, k: in
     rows = table.select(F.coalesce(F.col(dataset), F.lit("")).alias("name"), acgt_only(F.coalesce(F.col(text), F.lit(""))).alias("seq"), abundance.cast("int").alias("count"))
     names = sorted(r["name"] for r in rows.select("name").distinct().collect())
     datasets = table.sparkSession.createDataFrame([(i, n, n) for i, n in enumerate(names)], "dataset_id int, name string, path string")
-    return build_from_sequences(rows.join(datasets.select("dataset_id", "name"), "name").select("dataset_id", "seq", "count"), datasets, k, mode)
+    ids = datasets.select("dataset_id", "name")
+    # a shuffle of the sequences by name would put a large dataset into one task
+    known = rows.join(F.broadcast(ids) if len(names) <= MAX_BROADCAST else ids, "name")
+    return build_from_sequences(known.select("dataset_id", "seq", "count"), datasets, k, mode)
 
 
 def rebuild_catalog(spark: SparkSession, fof: str, k: int) -> DataFrame:

@@ -19,6 +19,7 @@ from abundex.operators import analytics as an
 from abundex.operators import lookup
 from abundex.operators import matrix as mx
 from abundex.plans import index
+from abundex.sources.tables import read_table
 
 K, M = 11, 7
 
@@ -27,7 +28,7 @@ class Tables:
     """The engine's inputs, from a folder of the driver's tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, by: str = "source"):
-        self.spark, self.docs = spark, spark.read.parquet(f"{sf_dir}/documents.parquet")
+        self.spark, self.docs = spark, read_table(spark, f"{sf_dir}/documents.parquet")
         self.items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
         self.sf_dir, self.by = sf_dir, by
 

@@ -78,7 +78,7 @@ class Index:
                 break
         buckets = min(MAX_BUCKETS, vectors.count() // BUCKET_KMERS + 1)
         ranked = m.with_class(vectors, seed).select("kmer", "class_id", lookup.bucket("kmer", buckets))
-        ranked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kmer").write.partitionBy("bucket").parquet(f"{path}/kmer_class")
+        ranked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kmer").write.partitionBy("bucket").parquet(f"{path}/kmer_class")
         self.datasets.write.parquet(f"{path}/datasets")
         out = load_tables(spark, path, self.k, self.mode, buckets)
         out.info().withColumn("n_buckets", F.lit(buckets)).write.parquet(f"{path}/info")
@@ -138,12 +138,13 @@ def build_index(spark: SparkSession, fof: str, k: int = 31, mode: str = "exact",
 def build_from_table(table: DataFrame, text: str, dataset: str, abundance, k: int, mode: str = "exact") -> Index:
     """Index a text column, reduced to A, C, G and T, with the values of another column as datasets."""
     rows = table.select(F.coalesce(F.col(dataset), F.lit("")).alias("name"), acgt_only(F.coalesce(F.col(text), F.lit(""))).alias("seq"), abundance.cast("int").alias("count"))
-    names = sorted(r["name"] for r in rows.select("name").distinct().collect())
-    datasets = table.sparkSession.createDataFrame([(i, n, n) for i, n in enumerate(names)], "dataset_id int, name string, path string")
+    # names and totals in one scan
+    totals = sorted((r["name"], r["total_kmers"] or 0) for r in m.dataset_totals(rows, k, "name").collect())
+    datasets = table.sparkSession.createDataFrame([(i, n, n, t) for i, (n, t) in enumerate(totals)], "dataset_id int, name string, path string, total_kmers bigint")
     ids = datasets.select("dataset_id", "name")
     # a shuffle of the sequences by name would put a large dataset into one task
-    known = rows.join(F.broadcast(ids) if len(names) <= MAX_BROADCAST else ids, "name")
-    return build_from_sequences(known.select("dataset_id", "seq", "count"), datasets, k, mode)
+    known = rows.join(F.broadcast(ids) if len(totals) <= MAX_BROADCAST else ids, "name")
+    return from_matrix(m.kmer_matrix(known.select("dataset_id", "seq", "count"), k, mode, "dataset_id"), datasets, k, mode)
 
 
 def rebuild_catalog(spark: SparkSession, fof: str, k: int) -> DataFrame:

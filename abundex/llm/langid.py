@@ -6,10 +6,12 @@ contexts from them; no gram is dropped. The driver streams them by ranges of the
 sorted hash array of the grams of all languages beside a matrix of their interpolated log probabilities. Workers map
 those arrays and find every position's longest known gram by binary search. The language with the lowest cross-entropy per character wins.
 
-Rejection is calibrated on about calibrate_rows distinct training texts of each language (all, where it has no more),
-chosen by a hash of the text: a document is rejected if its cross-entropy lies further above its language's than that of
-nearly all of them, given its length. Languages predicted for fewer than 30 of them share one calibration (that of all
-languages if they have fewer than 30 together); only without 30 distinct texts in all is there no limit.
+Rejection is calibrated on all distinct training texts of each language: a document is rejected if its cross-entropy
+lies further above its language's than that of nearly all of them, given its length. Medians and quantiles are exact;
+Spark narrows down their ranges by counts, so that no list of texts or scores reaches the driver. Languages predicted
+for fewer than 30 texts share one calibration (that of all languages if they have fewer than 30 together); only without
+30 distinct texts in all is there no limit. calibrate_rows is for callers who want fewer: about so many texts of each
+language, chosen by a hash of the text. No query sets it.
 
 Defined cases: null text, and text without letters, is `und`, score 0, rejected; without any training text every
 document is `und`; rows with null language or text aren't learned from; a null id counts as not held out; equal
@@ -31,6 +33,7 @@ ORDER = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 BLANK = 32
 BLOCK = 1 << 20
+BINS = 1024
 ADDED = ["lang_pred", "score", "cross_entropy", "rejected"]
 
 
@@ -348,49 +351,97 @@ def _has_letters(n: np.ndarray) -> np.ndarray:
     return n > 0  # a blank is scored only after a letter
 
 
-def fit(docs: DataFrame, calibrate_rows: int = 8000) -> Model:
-    """From rows of (text, lang); rows where either is null are passed over."""
+def fit(docs: DataFrame, calibrate_rows: int | None = None) -> Model:
+    """From rows of (text, lang); rows where either is null are passed over. Rejection: from all of them, or about calibrate_rows a language."""
     train = small_batches(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text"))
     counts = keep(count_grams(train), "grams")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model([], None)
     model = Model(langs, build(counts, langs))
-    model.calibration = _calibrate(train, model, calibrate_rows)
+    model.calibration = _calibrate(train if calibrate_rows is None else _some(train, calibrate_rows), model)
     return model
 
 
-def _calibrate(train: DataFrame, model: Model, rows: int) -> dict:
-    """Per language: mean cross-entropy, its variance between and within documents, and the largest usual deviation."""
+def _some(train: DataFrame, rows: int) -> DataFrame:
+    """About rows distinct texts of each language, by a hash of the text; all copies of a text or none."""
     part = F.lit(1).cast("long")
     for r in train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect():
         if r["n"] >= 2 * rows:
             part = F.when(F.col("lang") == r["lang"], F.lit(r["n"] // rows).cast("long")).otherwise(part)
-    sample = train.where(F.pmod(F.xxhash64("text"), part) == 0).dropDuplicates(["lang", "text"])
+    return train.where(F.pmod(F.xxhash64("text"), part) == 0)
+
+
+def _beside(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
+    """rows joined with a few values by the first column of the schema."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(values, schema)), schema.split()[0])
+
+
+def quantiles(rows: DataFrame, q: float) -> dict[int, float]:
+    """Of all x (finite) in each group g: the exact quantile, between neighbours as numpy's.
+
+    Counts of equal ranges between the least and the largest value tell in which one the wanted rank lies; that one is
+    cut again until it holds a single value."""
+    first = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    rank = {r["g"]: (r["n"] - 1) * q for r in first}
+    below, range_ = {r["g"]: 0 for r in first}, {r["g"]: (r["lo"], r["hi"]) for r in first}
+    while wide := [(g, lo, hi) for g, (lo, hi) in range_.items() if lo < hi]:
+        cut = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("cut")
+        inside = _beside(rows, wide, "g long, lo double, hi double").where("x between lo and hi")
+        bins = inside.groupBy("g", cut).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        found = set()
+        for r in sorted(bins, key=lambda r: (r["g"], r["cut"])):
+            g = r["g"]
+            if g in found:
+                continue
+            if below[g] + r["n"] > int(rank[g]):
+                range_[g] = r["lo"], r["hi"]
+                found.add(g)
+            else:
+                below[g] += r["n"]
+    if not range_:
+        return {}
+    out, at = {}, _beside(rows, [(g, lo) for g, (lo, _) in range_.items()], "g long, v double")
+    for r in at.groupBy("g", "v").agg(F.sum((F.col("x") <= F.col("v")).cast("long")).alias("upto"), F.min(F.when(F.col("x") > F.col("v"), F.col("x"))).alias("after")).collect():
+        k = int(rank[r["g"]])
+        after = r["v"] if k + 1 < r["upto"] or r["after"] is None else r["after"]
+        out[r["g"]] = r["v"] + (rank[r["g"]] - k) * (after - r["v"])
+    return out
+
+
+def _calibrate(train: DataFrame, model: Model) -> dict:
+    """Per language: mean cross-entropy, its variance between and within documents, and the largest usual deviation."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 ce, size = cross_entropies(model, b["text"].to_pylist())
-                best = ce.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(ce.min(1)), pa.array(size)], names=["lang", "ce", "n"])
+                yield pa.RecordBatch.from_arrays([b["label"], b["digest"], pa.array(ce.argmin(1)), pa.array(ce.min(1)), pa.array(size)], names=["label", "digest", "lang", "ce", "n"])
 
-    got = sample.mapInArrow(run, "lang long, ce double, n long").where("n > 0").toPandas()
+    texts = train.select(F.col("lang").alias("label"), "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    scored = texts.mapInArrow(run, "label string, digest binary, lang long, ce double, n long").where("n > 0").dropDuplicates(["label", "digest"])
+    scored = keep(scored.select("lang", "ce", "n"), "calibration")
+    count = {r["lang"]: r["n"] for r in scored.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     out = {}
-    if len(got) < 30:
-        return out
-    pooled = got[got.groupby("lang").ce.transform("size") < 30]
-    pooled = pooled if len(pooled) >= 30 else got
-    for i in range(len(model.langs)):
-        own = got[got.lang == i]
-        if len(own) < 30:
-            own = pooled
-        mean = float(np.average(own.ce, weights=own.n))
-        r, size = (own.ce - mean).to_numpy(), own.n.to_numpy()
-        between = float(np.median(np.abs(r)) * 1.4826) ** 2
-        within = float(np.median(r * r * size)) / 0.455
-        z = r / np.sqrt(np.maximum(between + within / size, 1e-9))
-        out[i] = (mean, between, within, max(8.0, 1.5 * float(np.quantile(z, 0.999))))
+    if sum(count.values()) >= 30:
+        every = range(len(model.langs))
+        own = [i for i in every if count.get(i, 0) >= 30]
+        rest = [i for i in every if i not in set(own)]
+        if sum(count.get(i, 0) for i in rest) < 30:
+            pooled = list(every) if rest else []
+        else:
+            pooled = rest
+        rows = _beside(scored, [*((i, i) for i in own), *((i, -1) for i in pooled)], "lang long, g long")
+        mean = {r["g"]: r["mean"] for r in rows.groupBy("g").agg((F.sum(F.col("ce") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+        rows = _beside(rows, list(mean.items()), "g long, mean double").select("g", "n", (F.col("ce") - F.col("mean")).alias("r"))
+        median = quantiles(rows.selectExpr("inline(array(struct(2 * g as g, abs(r) as x), struct(2 * g + 1 as g, r * r * n as x)))"), 0.5)
+        spread = {g: (float(median[2 * g] * 1.4826) ** 2, median[2 * g + 1] / 0.455) for g in mean}
+        z = _beside(rows, [(g, *s) for g, s in spread.items()], "g long, between double, within double")
+        most = quantiles(z.selectExpr("g", "r / sqrt(greatest(between + within / n, 1e-9D)) as x"), 0.999)
+        for i in every:
+            g = i if i in mean else -1
+            out[i] = (mean[g], *spread[g], max(8.0, 1.5 * most[g]))
+    forget(scored)
     return out
 
 

@@ -127,6 +127,51 @@ def test_rare_languages_can_reject(spark):
     assert not out.rejected[1] and out.rejected[2]
 
 
+def test_quantiles_equal_numpys(spark):
+    rng = np.random.default_rng(7)
+    groups = {0: rng.normal(size=5000), 1: np.repeat([3.0, 1.0, 1e300], [700, 299, 1]), 2: np.array([-2.5]), 3: rng.exponential(size=1001) ** 9, 4: np.zeros(40), 5: np.array([1.0, np.nextafter(1, 2)])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g long, x double")
+    for q in (0.0, 0.5, 0.999, 1.0):
+        got = langid.quantiles(df, q)
+        assert sorted(got) == sorted(groups)
+        for g, v in groups.items():
+            assert got[g] == pytest.approx(np.quantile(v, q), rel=1e-12), (g, q)
+    assert langid.quantiles(df.limit(0), 0.5) == {}
+
+
+def many_texts(spark, n=18_000):
+    """(en, text) of n distinct texts, and 40 odd ones that a sample of every other text by its hash passes over."""
+    rng = random.Random(8)
+    words = "the cat dog went home and ran away from house".split()
+    texts = [f"{' '.join(rng.choice(words) for _ in range(7))} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)]
+    odd = spark.createDataFrame([("".join(rng.choice("qzxjkvwp") for _ in range(60)),) for _ in range(200)], "text string")
+    return texts, [r["text"] for r in odd.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1).limit(40).collect()]
+
+
+def plain_calibration(ce, n):
+    """Mean, variance between and within, and limit of one language."""
+    mean = np.average(ce, weights=n)
+    r = ce - mean
+    between, within = (np.median(np.abs(r)) * 1.4826) ** 2, np.median(r * r * n) / 0.455
+    return mean, between, within, max(8.0, 1.5 * np.quantile(r / np.sqrt(np.maximum(between + within / n, 1e-9)), 0.999))
+
+
+def test_rejection_is_calibrated_on_all_texts(spark):
+    """Distinct texts of each label beyond any sample, copies once; languages of few texts share a calibration."""
+    texts, odd = many_texts(spark)
+    rows = [("en", t) for t in [*texts, *odd, *texts[:500]]] + [("de", "der hund ging heim " + "weg " * i) for i in range(20)] + [("fi", "kissa meni kotiin " + "pois " * i) for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string").repartition(8))
+    ce, n = langid.cross_entropies(model, [t for _, t in dict.fromkeys(rows)])
+    best, ce = ce.argmin(1), ce.min(1)
+    few = best != model.langs.index("en")
+    assert few.sum() == 40
+    for i, lang in enumerate(model.langs):
+        own = ~few if lang == "en" else few
+        assert model.calibration[i] == pytest.approx(plain_calibration(ce[own], n[own]), rel=1e-6)
+    out = langid.identify(spark.createDataFrame([(t,) for t in odd], "text string"), model)
+    assert out.where("rejected").count() == 0
+
+
 def plain_characters(text):
     """Lower-case letters, and one blank for what follows a letter and is none."""
     out, after = [], False

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from abundex.llm.common import keep
-from tests.llm.test_models import near
+from tests.llm.test_models import many_texts, near
 from tests.llm.test_text_operators import _brute, _dedup
 
 
@@ -30,6 +30,14 @@ def test_language_stage_keeps_clean_documents(stages):
     assert (after.merge(before, on="doc_id", suffixes=("", "_")).eval("text == text_")).all()
 
 
+def test_language_stage_learns_its_limits_from_all_documents(spark):
+    texts, odd = many_texts(spark)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, *odd])] + [(-1, "#" + "ğħœ" * 40, None, "s", 121)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(len(texts) + len(odd)))
+
+
 def test_line_stage(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1].select("doc_id", "text").collect()]
     want = sorted((i, t) for i, t, _, _ in _dedup(rows, 40, 5))

@@ -1,11 +1,13 @@
 """Each stage against a plain version, on what its predecessor kept."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from abundex.llm import langid
 from abundex.llm.common import keep
-from tests.llm.test_models import many_texts, near
+from tests.llm.test_models import many_texts, near, plain_calibration
 from tests.llm.test_text_operators import _brute, _dedup
 
 
@@ -38,6 +40,24 @@ def test_language_stage_learns_its_limits_from_all_documents(spark):
     assert kept == set(range(len(texts) + len(odd)))
 
 
+def test_language_stage_has_the_limits_of_all_texts(spark, monkeypatch):
+    """Two languages of more texts than the sample had, with copies and rows without language or text: the stage's limits
+    are those of a plain calculation over all distinct texts."""
+    texts, odd = many_texts(spark)
+    german = [t.translate(str.maketrans("aeot", "äöüß")) for t in texts[:17_000]]
+    rows = [("en", t) for t in [*texts, *odd, *texts[:300]]] + [("de", t) for t in [*german, *german[:300]]]
+    other = [(None, "qzxjkvwp " * 9), ("en", None), ("de", "123")]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, (x, t) in enumerate(rows + other)], "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    models = []
+    monkeypatch.setattr(langid, "identify", lambda d, model, run=langid.identify: models.append(model) or run(d, model))
+    corpus_pipeline.language_id(spark, docs, "")
+    ce, n = langid.cross_entropies(models[0], [t for _, t in dict.fromkeys(rows)])
+    best, ce = ce.argmin(1), ce.min(1)
+    assert models[0].langs == ["de", "en"] and np.bincount(best).tolist() == [17_000, 18_040]
+    for i in range(2):
+        assert models[0].calibration[i] == pytest.approx(plain_calibration(ce[best == i], n[best == i]), rel=1e-6)
+
+
 def test_line_stage(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1].select("doc_id", "text").collect()]
     want = sorted((i, t) for i, t, _, _ in _dedup(rows, 40, 5))
